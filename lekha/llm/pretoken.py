@@ -11,7 +11,7 @@ import unicodedata
 
 import numpy as np
 
-from lekha.llm.text import U64, Table, span_hash
+from lekha.llm.text import Table, ragged, span_hash
 
 OTHER, LETTER, NUMBER, SPACE, EDGE = range(5)
 #: Unicode's White_Space (fixed values).
@@ -84,4 +84,31 @@ class PieceCache:
         raise NotImplementedError
 
 
-__all__ = ["EDGE", "LETTER", "NUMBER", "OTHER", "SPACE", "PieceCache", "U64", "pieces"]
+class IdCache(PieceCache):
+    """Ids of the pieces already met."""
+
+    def __init__(self, most: int = 700_000):
+        super().__init__(most)
+        self.clear()
+
+    def clear(self) -> None:
+        self.start, self.count = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
+
+    def learn(self, ids: list[list[int]], hashes: np.ndarray) -> None:
+        count = np.array([len(x) for x in ids])
+        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum()))
+        a, b = self.table.n, self.table.n + len(ids)
+        while b > len(self.start):
+            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.start[a:b], self.count[a:b] = self.used + np.cumsum(count) - count, count
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.table.add(hashes)
+
+    def ids(self, found: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of each row, all ids) for pieces by their numbers."""
+        count = self.count[found].astype(np.int64)
+        return np.bincount(row, count, rows).astype(np.int64), self.flat[ragged(self.start[found].astype(np.int64), count)]

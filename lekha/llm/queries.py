@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lekha.llm import simhash, substrings, token_counts, token_store, winnowing
+from lekha.llm import sentence_pieces, simhash, substrings, token_counts, token_store, winnowing
 from lekha.llm.shared import shared_folder
 
-BYTE_BPE = "byte_bpe_50k.json"
+BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +40,19 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path(PIECES)
+    back = sentence_pieces.decode(sentence_pieces.encode(_table(spark, sf_dir, "documents"), model), model)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_crc32", F.length("decoded").cast("long").alias("n_chars"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op3_simhash": op3_simhash,
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_sentence_pieces": op10_sentence_pieces,
 }
 
 SQL: dict[str, str] = {"op7_decontamination": winnowing.SQL}

@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lekha.llm.pretoken import PieceCache, pieces
-from lekha.llm.text import ragged, slices
+from lekha.llm.pretoken import IdCache, pieces
+from lekha.llm.text import slices
 
 _BLOCK = 512
 #: Tables of at most so many short rows are sent to all executors in a join.
@@ -109,35 +109,16 @@ class Segment:
         return self.tokens(int(self.first[k]), int(self.first[k + 1]))
 
 
-class _Encoder(PieceCache):
+class _Encoder(IdCache):
     """Ids of texts from the library; each distinct piece is encoded once while the table has room."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
-        super().__init__(700_000)
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.clear()
-
-    def clear(self) -> None:
-        self.start, self.count = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
-        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
-
-    def _learn(self, strings: list[str], hashes: np.ndarray) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-        count = np.array([len(x) for x in got])
-        ids = np.fromiter((i for x in got for i in x), np.uint32, int(count.sum()))
-        a, b = self.table.n, self.table.n + len(got)
-        while b > len(self.start):
-            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.start[a:b], self.count[a:b] = self.used + np.cumsum(count) - count, count
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.table.add(hashes)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of each text, all ids)."""
@@ -153,10 +134,10 @@ class _Encoder(PieceCache):
         string, begin, end, row, hashes = pieces(texts)
         found, new = self.missing(hashes)
         if len(new):
-            self._learn([string[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist())], hashes[new])
+            strings = [string[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist())]
+            self.learn([e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)], hashes[new])
             found = self.table.find(hashes)
-        count = self.count[found].astype(np.int64)
-        return np.bincount(row, count, len(texts)).astype(np.int64), self.flat[ragged(self.start[found].astype(np.int64), count)]
+        return self.ids(found, row, len(texts))
 
 
 _encoders: dict[str, _Encoder] = {}
