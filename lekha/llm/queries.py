@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekha.llm import sentence_pieces, simhash, substrings, token_counts, token_store, winnowing
+from lekha.llm import inner_products, sentence_pieces, simhash, substrings, token_counts, token_store, winnowing
 from lekha.llm.shared import shared_folder
 
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -28,6 +28,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inner_products.top_inner_products(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -49,10 +53,14 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op3_simhash": op3_simhash,
+    "op4_inner_products": op4_inner_products,
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_sentence_pieces": op10_sentence_pieces,
 }
 
-SQL: dict[str, str] = {"op7_decontamination": winnowing.SQL}
+SQL: dict[str, str] = {
+    "op4_inner_products": inner_products.SQL,
+    "op7_decontamination": winnowing.SQL,
+}
