@@ -146,7 +146,7 @@ def _by_words(data, w, at, doc_of, start, order, clash, one, window) -> np.ndarr
     return np.array(out, np.int64)
 
 
-def repeated_ranges(docs: DataFrame, window: int = 20, gram: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_ranges(docs: DataFrame, window: int = 20, gram: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, first, last): ranges of windows, by their first words, whose words also start earlier.
 
     Earlier: in a smaller doc_id, or in the same document before. The ranges of a document may overlap.
@@ -168,7 +168,7 @@ def repeated_ranges(docs: DataFrame, window: int = 20, gram: int = 4, id_col: st
     return sent.groupBy("bucket").applyInArrow(settle, "doc_id long, first long, last long")
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 4, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): each document without the words of repeated windows.
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged; `kept` joins the rest by one space. A null text has no

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
+_STRETCH = 1 << 20
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _GRAM = U64(0xC2B2AE3D27D4EB4F | 1)
@@ -56,7 +57,20 @@ _POWERS = {int(b): _Powers(b) for b in (_BASE, _GRAM)}
 
 
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = _BASE) -> np.ndarray:
-    """A 64-bit hash of values[s:e] for each pair, equal for equal contents wherever they lie."""
+    """A 64-bit hash of values[s:e] for each pair, equal for equal contents wherever they lie; starts ascend."""
+    if len(values) > _STRETCH and len(starts) > 1:  # in stretches, for bounded tables of powers
+        edge = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(values), _STRETCH)), len(starts)))
+        out = np.empty(len(starts), U64)
+        for a, b in zip(edge[:-1], edge[1:]):
+            low = int(starts[a])
+            part = values[low : int(ends[a:b].max())]
+            same = len(part) == len(values)
+            out[a:b] = _span_hash(part, starts[a:b] - low, ends[a:b] - low, base) if same else span_hash(part, starts[a:b] - low, ends[a:b] - low, base)
+        return out
+    return _span_hash(values, starts, ends, base)
+
+
+def _span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64) -> np.ndarray:
     up, down = _POWERS[int(base)].upto(len(values) + 1)
     total = np.zeros(len(values) + 1, U64)
     np.cumsum((values.astype(U64) + U64(1)) * up[: len(values)], out=total[1:])
