@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekha.llm import inner_products, sentence_pieces, simhash, substrings, token_counts, token_store, toxicity, winnowing
+from lekha.llm import inner_products, maxent, sentence_pieces, simhash, substrings, token_counts, token_store, toxicity, winnowing
 from lekha.llm.shared import shared_folder
 
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -24,6 +24,10 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, path)
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.scores(_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_language_model": op2_language_model,
     "op3_simhash": op3_simhash,
     "op4_inner_products": op4_inner_products,
     "op6_token_counts": op6_token_counts,
