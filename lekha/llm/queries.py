@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekha.llm import inner_products, maxent, sentence_pieces, simhash, substrings, token_counts, token_store, toxicity, winnowing
+from lekha.llm import inner_products, main_text, maxent, sentence_pieces, simhash, substrings, token_counts, token_store, toxicity, winnowing
 from lekha.llm.shared import shared_folder
 
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -36,6 +36,11 @@ def op4_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inner_products.top_inner_products(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return main_text.main_text(pages, main_text.train(pages))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -50,7 +55,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"), digests_only=True)
 
 
 def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_model": op2_language_model,
     "op3_simhash": op3_simhash,
     "op4_inner_products": op4_inner_products,
+    "op5_main_text": op5_main_text,
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,

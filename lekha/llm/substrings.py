@@ -168,12 +168,13 @@ def repeated_ranges(docs: DataFrame, window: int = 20, gram: int = 3, id_col: st
     return sent.groupBy("bucket").applyInArrow(settle, "doc_id long, first long, last long")
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): each document without the words of repeated windows.
+def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), digests_only: bool = False) -> DataFrame:
+    """(doc_id, text, n_words, n_removed, kept, kept_sha256): each document without the words of repeated windows.
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged; `kept` joins the rest by one space. A null text has no
     words; rows with a null id are left out; rows that share an id count as one document's versions,
-    neither of which is earlier than the other. `keep` names further columns to carry along.
+    neither of which is earlier than the other. `keep` names further columns to carry along;
+    `digests_only` leaves `text` and `kept` out.
     """
     ranges = repeated_ranges(docs, window, gram, id_col, text_col)
     ranges = ranges.groupBy("doc_id").agg(F.collect_list("first").alias("lk_first"), F.collect_list("last").alias("lk_last"))
@@ -200,8 +201,12 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 3, id_col: str
             kept = [packed[x : max(x, y - 1)] for x, y in zip(edge[:-1].tolist(), edge[1:].tolist())]
             n = np.diff(w.first)
             removed = n - np.diff(np.append(0, np.cumsum(stay))[w.first])
-            out = [b.column("doc_id"), pa.array(n), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
-            yield pa.RecordBatch.from_arrays([*out, *(b.column(c) for c in keep)], ["doc_id", "n_words", "n_removed", "kept", "kept_sha256", *keep])
+            out = {"doc_id": b.column("doc_id"), "n_words": pa.array(n), "n_removed": pa.array(removed), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}
+            if not digests_only:
+                out |= {"text": b.column("text"), "kept": pa.array(kept, pa.binary()).cast(pa.string())}
+            out |= {c: b.column(c) for c in keep}
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     types = dict(docs.dtypes)
-    return rows.mapInArrow(cut, ", ".join(["doc_id long, n_words long, n_removed long, kept string, kept_sha256 string", *(f"`{c}` {types[c]}" for c in keep)]))
+    schema = ["doc_id long, n_words long, n_removed long, kept_sha256 string", *([] if digests_only else ["text string, kept string"]), *(f"`{c}` {types[c]}" for c in keep)]
+    return rows.mapInArrow(cut, ", ".join(schema))
