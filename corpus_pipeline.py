@@ -16,11 +16,21 @@ from lekha.llm.queries import PIECES
 from lekha.llm.shared import written
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and one column with all others, whatever they are called."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*rest or [F.lit(0).alias("none")]).alias("lk_rest"))
+
+
+def _unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[c if c in ("doc_id", "text") else F.col("lk_rest").getField(c).alias(c) for c in columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models do not reject."""
     models = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rated = toxicity.toxicity(docs, models, keep=tuple(docs.columns)).toDF("id", "held_out", "score", "predicted", *docs.columns)
-    return rated.where("predicted = 0").select(docs.columns)
+    rated = toxicity.toxicity(_packed(docs), models, keep=("text", "lk_rest"))
+    return _unpacked(rated.where("predicted = 0"), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,17 +42,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of passages that stand earlier in the corpus; a document of nothing else goes."""
-    cut = substrings.remove_repeats(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
-    return _with_text(docs, cut)
-
-
-def _with_text(docs: DataFrame, cut: DataFrame) -> DataFrame:
-    changed = F.col("n_removed") > 0
-    text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
-    out = cut.where(~(changed & (F.col("n_removed") == F.col("n_words")))).withColumn("text", text)
+    cut = substrings.remove_repeats(_packed(docs), keep=("lk_rest",))
+    changed, rest = F.col("n_removed") > 0, F.col("lk_rest")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        rest = rest.withField("n_chars", F.when(changed, F.length("kept").cast("long")).otherwise(rest["n_chars"]))
+    text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
+    out = cut.where(~(changed & (F.col("n_removed") == F.col("n_words"))))
+    return _unpacked(out.select("doc_id", text.alias("text"), rest.alias("lk_rest")), docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,10 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, or, where that is unset (as in tests), under the warehouse."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top.rstrip('/')}/lekha-{uuid.uuid4().hex}"
+    _made.append(f"{top.rstrip('/')}/lekha-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def written(df: DataFrame, name: str = "step", codec: str = "zstd") -> DataFrame:
@@ -20,8 +24,9 @@ def written(df: DataFrame, name: str = "step", codec: str = "zstd") -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Remove a folder made by this module, wherever the cluster keeps it."""
+def release(spark: SparkSession) -> None:
+    """Remove all folders made here so far; to be called when the results that read them are done with."""
     jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

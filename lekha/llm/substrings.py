@@ -19,6 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lekha.llm.text import U64, Texts, Words, gram_hash, joined, ragged, slices, span_hash, texts, words
 
@@ -173,7 +174,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 3, id_col: str
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged; `kept` joins the rest by one space. A null text has no
     words; rows with a null id are left out; rows that share an id count as one document's versions,
-    neither of which is earlier than the other. `keep` names further columns to carry along;
+    neither of which is earlier than the other. `keep` names further columns to carry along,
+    none of which may have a name of this result;
     `digests_only` leaves `text` and `kept` out.
     """
     ranges = repeated_ranges(docs, window, gram, id_col, text_col)
@@ -207,6 +209,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 3, id_col: str
             out |= {c: b.column(c) for c in keep}
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    types = dict(docs.dtypes)
-    schema = ["doc_id long, n_words long, n_removed long, kept_sha256 string", *([] if digests_only else ["text string, kept string"]), *(f"`{c}` {types[c]}" for c in keep)]
-    return rows.mapInArrow(cut, ", ".join(schema))
+    schema = T.StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
+    for name in () if digests_only else ("text", "kept"):
+        schema = schema.add(name, "string")
+    for name in keep:
+        schema = schema.add(name, docs.schema[name].dataType)
+    return rows.mapInArrow(cut, schema)

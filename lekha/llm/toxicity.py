@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lekha.llm.text import LOWER, U64, Table, Texts, joined, mix, slices, texts, words
 
@@ -212,6 +213,7 @@ def toxicity(docs: DataFrame, models: Models | None, folds: int = 5, keep: tuple
             rest = b.columns[3:]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), *rest], ["doc_id", "held_out", "score", "predicted", *[f"kept_{i}" for i in range(len(rest))]])
 
-    types = dict(docs.dtypes)
-    schema = ["doc_id long, held_out boolean, score double, predicted int", *(f"kept_{i} {types[c]}" for i, c in enumerate(keep))]
-    return rows.mapInArrow(of, ", ".join(schema)).toDF("doc_id", "held_out", "score", "predicted", *keep)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    for i, c in enumerate(keep):
+        schema = schema.add(f"kept_{i}", docs.schema[c].dataType)
+    return rows.mapInArrow(of, schema).toDF("doc_id", "held_out", "score", "predicted", *keep)
