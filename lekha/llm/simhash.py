@@ -8,6 +8,11 @@ either. Within a leaf, only fingerprints whose distances to one more vantage poi
 most r are compared, exactly. All fingerprints of a level share one vantage point, so the tree is a
 list of (point, radius) and does not grow with the corpus but by one entry for each doubling.
 
+Balls tell fingerprints apart up to a few bits; texts with four fifths of their five-word shingles in
+common differ in some ten bits of 64, where every ball would have to be visited. `similar_documents`
+therefore joins the classes that the fingerprints leave by a second sketch of the same shingles: the
+least of each of many hash functions, compared wherever seven in a row agree.
+
 Equal fingerprints are one node, so groups of copies do not reach a leaf; a leaf with more than
 `leaf` rows is dealt in pairs of blocks, so no task gets an unbounded group.
 """
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lekha.llm.components import components
 from lekha.llm.shared import written
-from lekha.llm.text import LOWER, Texts, joined, slices, texts, words
+from lekha.llm.text import LOWER, U64, Texts, gram_hash, joined, mix, slices, span_hash, texts, words
 
 #: Fingerprints from which vantage points and radii are chosen; the rest only follow them.
 SAMPLE = 4096
@@ -171,9 +176,119 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col:
     wordless texts have fingerprint zero and link like any other; an empty table gives no rows.
     """
     rows = written(fingerprints(docs, shingle, id_col, text_col), "prints")
+    out = _by_fingerprint(rows, radius)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _by_fingerprint(rows: DataFrame, radius: int) -> DataFrame:
+    """rows (doc_id, fingerprint), a stored table -> with component_id."""
     prints = written(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct")
     found = written(components(links(prints.select("fingerprint"), radius)), "components")
     least = found.join(prints, F.col("node") == F.col("fingerprint")).groupBy("root").agg(F.min("first").alias("least"))
     group = found.join(least, "root").select(F.col("node").alias("fingerprint"), "least")
     group = written(prints.join(group, "fingerprint", "left").select("fingerprint", F.coalesce("least", "first").alias("component_id")), "groups")
-    return rows.join(group, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(group, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+#: Minima of a sketch, and how many in a row make the key under which sketches meet.
+MINIMA, ROW = 126, 7
+_FACTORS = mix(np.arange(1, MINIMA + 1, dtype=U64)) | U64(1)
+#: Sketches compared in one block.
+_BLOCK = 1000
+
+
+def _minima(t: Texts, shingle: int) -> np.ndarray:
+    """The least value of each hash function over each row's shingles, upper halves; all ones without words."""
+    low = LOWER[t.data]
+    w = words(Texts(low, t.begin))
+    h, n = span_hash(low, w.start, w.end), np.diff(w.first)
+    out = np.full((len(t), MINIMA), 0xFFFFFFFF, np.uint32)
+    full = np.flatnonzero(n)
+    if not len(full):
+        return out
+    grams = gram_hash(h, shingle)
+    count = np.maximum(1, n - shingle + 1)[full]
+    at = np.repeat(w.first[:-1][full] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    values = grams[np.minimum(at, len(grams) - 1)] if len(grams) else np.zeros(len(at), U64)
+    few = np.flatnonzero(n[full] < shingle)
+    begin = np.cumsum(count) - count
+    if len(few):
+        values[begin[few]] = span_hash(h, w.first[:-1][full][few], w.first[1:][full][few])
+    for k, f in enumerate(_FACTORS):
+        out[full, k] = np.minimum.reduceat(values * f, begin) >> U64(32)
+    return out
+
+
+def _agree(x: np.ndarray, y: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of sketches with at least so many equal minima."""
+    left, right = [], []
+    for at in range(0, len(x), 16):
+        same = np.zeros((len(x[at : at + 16]), len(y)), np.int16)
+        for k in range(x.shape[1]):
+            same += x[at : at + 16, None, k] == y[None, :, k]
+        i, j = np.nonzero(same >= least)
+        left.append(i + at), right.append(j)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def sketch_links(sketches: DataFrame, similarity: float) -> DataFrame:
+    """sketches (id, sketch, keys), one for each different sketch -> (u, v): links that join ids of similar sketches.
+
+    Sketches that share a key are compared; a group is dealt in pairs of blocks, and each pair of
+    blocks gives a spanning forest of its links.
+    """
+    least = math.ceil(MINIMA * similarity - math.sqrt(MINIMA * similarity * (1 - similarity)))  # a standard error below
+    keyed = sketches.select("id", F.explode("keys").alias("key"))
+    size = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / _BLOCK).cast("int").alias("blocks"))
+    size = written(size, "keys")
+    keyed = written(keyed.join(F.broadcast(size) if size.count() <= SMALL else size, "key"), "met")
+    own = keyed.join(sketches.select("id", "sketch"), "id")
+    b = F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")
+    dealt = own.withColumn("b", b).select("key", "id", "sketch", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    dealt = dealt.select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "id", "sketch")
+
+    def compare(key, table):
+        order = np.argsort(table.column("id").to_numpy())
+        ids, mine = table.column("id").to_numpy()[order], (table.column("b").to_numpy() == key[1].as_py())[order]
+        x = np.stack([np.frombuffer(v.as_buffer(), np.uint32) for v in table.column("sketch")])[order]
+        alone = key[1].as_py() == key[2].as_py()
+        left, right = np.flatnonzero(mine), np.flatnonzero(mine if alone else ~mine)
+        i, j = _agree(x[left], x[right], least) if len(left) and len(right) else (left[:0], right[:0])
+        root = _forest(len(ids), left[i], right[j])
+        linked = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"u": ids[linked], "v": ids[root[linked]]})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "u long, v long").distinct()
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id): documents linked by fingerprints of their shingles, or by `similarity` of these.
+
+    Similarity is the share of all their different shingles that two documents have in common,
+    estimated from MINIMA hash functions; pairs up to a standard error below the bound link too.
+    Rules for ids, nulls and wordless texts as for near_duplicates.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            t = texts(b.column("text"))
+            m = _minima(t, shingle)
+            rows = m[:, : MINIMA // ROW * ROW].reshape(len(t), -1, ROW).astype(U64)
+            keys = np.zeros(rows.shape[:2], U64) + np.arange(rows.shape[1], dtype=U64)
+            for k in range(ROW):
+                keys = mix(keys * U64(0x9E3779B97F4A7C15) + rows[:, :, k])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(t) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel().view(np.int64)))
+            columns = [b.column("doc_id"), pa.array(_fold(t, shingle).view(np.int64)), pa.array([r.tobytes() for r in m], pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fingerprint", "sketch", "keys"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    rows = written(rows.mapInArrow(of, "doc_id long, fingerprint long, sketch binary, keys array<long>"), "sketches")
+    groups = written(_by_fingerprint(rows.select("doc_id", "fingerprint"), radius), "by_fingerprint")
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    different = rows.join(first, "doc_id", "left_semi").groupBy(F.xxhash64("sketch").alias("a"), F.xxhash64("sketch", F.lit(1)).alias("b"))
+    different = written(different.agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"), F.collect_set("doc_id").alias("ids")), "different")
+    alike = different.where("size(ids) > 1").select(F.explode("ids").alias("u"), F.col("id").alias("v"))
+    found = components(sketch_links(different, similarity).unionByName(alike)).withColumnRenamed("node", "component_id")
+    found = written(found.where("component_id > root"), "joined")
+    out = groups.join(F.broadcast(found) if found.count() <= SMALL else found, "component_id", "left")
+    return out.select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
