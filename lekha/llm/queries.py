@@ -80,4 +80,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op4_inner_products": inner_products.SQL,
     "op7_decontamination": winnowing.SQL,
+    "op9_substring_dedup": substrings.SQL,
 }

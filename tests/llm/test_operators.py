@@ -400,3 +400,35 @@ def test_decoding_is_the_best_choice(case):
     inside = decode(parent, gain)
     best = max(value(s) for s in itertools.product((0, 1, 2), repeat=len(parent)))
     assert math.isclose(gain[inside].sum(), best, abs_tol=1e-9)
+
+
+def test_similar_documents(spark, docs, none):
+    rng = np.random.default_rng(6)
+    words = [f"t{i}" for i in range(4000)]
+    texts, groups = {}, {}
+    for g in range(25):
+        base = rng.choice(words, 300).tolist()
+        for k in range(4):  # one word changed: some 1.7 % of the shingles; far texts change every eighth word
+            new = list(base)
+            for p in [rng.integers(300)] if k < 3 else range(0, 300, 8):
+                new[p] = "changed"
+            texts[10 * g + k], groups[10 * g + k] = " ".join(new), (g, k == 3)
+    texts |= {900: "just three words", 901: "Just three words", 902: "just four other words", 903: "", 904: None, 905: texts[0]}
+    groups |= {900: "x", 901: "x", 902: "y", 903: "z", 904: "z", 905: groups[0]}
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: min(j for j in texts if groups[j] == groups[i]) for i in texts}
+    assert simhash.similar_documents(none).count() == 0
+    assert simhash.similar_documents(docs).count() == len(TEXTS)
+
+
+def test_sketch_links_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "_BLOCK", 7)
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**32, simhash.MINIMA, dtype=np.uint32)
+    rows = []
+    for i in range(60):
+        s = base.copy() if i % 2 else rng.integers(0, 2**32, simhash.MINIMA, dtype=np.uint32)
+        s[rng.choice(simhash.MINIMA, 6, replace=False)] = i
+        rows.append((i, bytearray(s.tobytes()), [1, 1000 + i]))
+    found = components(simhash.sketch_links(spark.createDataFrame(rows, "id long, sketch binary, keys array<long>"), 0.8))
+    assert {r.node: r.root for r in found.collect()} == {i: 1 for i in range(1, 60, 2)}
