@@ -32,6 +32,11 @@ ERRORS = (
 )
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), the value computed once for a row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def is_bangla(text: Column) -> Column:
     """Some character is of the Bengali block; dandas and joiners are not."""
     return text.rlike(f"[{_B}]")
@@ -57,10 +62,24 @@ def reorder(text: Column) -> Column:
     return F.translate(reorder_pre_kar(reorder_reph(text)), _G, "")
 
 
+#: Stretches that a sequence can match in: every sequence has a halant or one of three vowel signs, and
+#: no two consonants of a sequence touch.
+_JOINED = f"[{_C}\u09dc\u09dd]?(?:{S.ZWNJ}?{_H}[{_C}\u09dc\u09dd]?)+[\u09c1-\u09c3]?|[{_C}\u09dc\u09dd][\u09c1-\u09c3]"
+_PARTS = f"(?s){_JOINED}|(?:(?!{_JOINED}).)+"
+
+
 def transcode(text: Column) -> Column:
-    """Characters to the legacy glyph encoding: marks first, then sequences in their order, then single characters."""
+    """Characters to the legacy glyph encoding: marks first, then sequences in their order, then single characters.
+
+    Only the short stretches that sequences can match in go through the chain of sequences.
+    """
     marks = F.translate(text, "".join(S.MARKS), "".join(S.MARKS.values()))  # some sequences give these marks anew
-    out = reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), S.live_sequences(), marks)
+
+    def chained(part: Column) -> Column:
+        out = reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), S.live_sequences(), part)
+        return F.when(part.rlike(f"^(?:{_JOINED})$"), out).otherwise(part)
+
+    out = F.array_join(F.transform(F.regexp_extract_all(marks, F.lit(_PARTS), F.lit(0)), chained), "")
     letters = S.letters()
     for key, value in letters.items():
         if len(value) > 1:
@@ -76,8 +95,7 @@ def strip_invisible(text: Column) -> Column:
 
 def has_error_input(text: Column) -> Column:
     """A strict reader would reject the text (see ERRORS)."""
-    ready = normalize(text)
-    return reduce(lambda a, b: a | b, [ready.rlike(e) for e in ERRORS])
+    return _let(normalize(text), lambda t: reduce(lambda a, b: a | b, [t.rlike(e) for e in ERRORS]))
 
 
 def encode(text: Column, strict: bool = False) -> Column:
@@ -91,7 +109,7 @@ def encode(text: Column, strict: bool = False) -> Column:
 
 def fix(text: Column, strict: bool = False) -> Column:
     """`encode` for texts with Bengali characters, others as they are."""
-    return F.when(is_bangla(text), encode(text, strict)).otherwise(text)
+    return _let(text, lambda t: F.when(is_bangla(t), encode(t, strict)).otherwise(t))
 
 
 def from_latin(text: Column) -> Column:
