@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from lekha.llm.boosting import Boosted
 from lekha.llm.page_tree import FEATURES, Tree, decode
-from lekha.llm.text import slices
+from lekha.llm.shared import bounded_batches
+from lekha.llm.text import slices, worker_cache
 
 #: Pages that the trees learn from, at most; chosen by a hash of their id.
 SAMPLE = 160
@@ -183,9 +184,11 @@ def main_text(pages: DataFrame, model: Boosted | None, id_col: str = "page_id",
     pages, and pages without main text, have the empty text; every row gives one, repeated and null
     ids too. Without a model all texts are empty.
     """
+    bounded_batches(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(model)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("main_text")
         for b in slices(batches, "html", 1 << 20):
             text = extract(sent.value, [x or "" for x in b.column("html").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())], ["page_id", "url", "text", "n_chars"])

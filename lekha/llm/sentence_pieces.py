@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lekha.llm.pretoken import IdCache
-from lekha.llm.text import ragged, slices, span_hash
+from lekha.llm.shared import bounded_batches
+from lekha.llm.text import ragged, slices, span_hash, worker_cache
 
 MARK = "▁"
 _EDGE = "\ud800"  # no text holds a lone surrogate
@@ -34,7 +35,7 @@ class Model(IdCache):
     def __init__(self, path: str, kind: str = "bpe"):
         import sentencepiece
 
-        super().__init__()
+        super().__init__(500_000)
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.kind, self.unk = kind, sp.unk_id()
         every = range(sp.get_piece_size())
@@ -45,11 +46,7 @@ class Model(IdCache):
         self.byte = {int(self.pieces[i][3:5], 16): i for i in every if sp.is_byte(i)}
         self.least = min(self.score.values(), default=0.0) - 10  # what an unknown character scores in a unigram model
         self.whole = any(MARK in p.lstrip(MARK) for p in self.number)  # then stretches cannot be cut at marks
-        self.automaton = ahocorasick.Automaton()
-        for piece in self.number:
-            self.automaton.add_word(piece, piece)
-        if self.number:
-            self.automaton.make_automaton()
+        self.automaton: ahocorasick.Automaton | None = None  # built when first needed; decoding does not
         self._history: dict[str, tuple] = {}
         self._fits: dict[tuple[str, str], bool] = {}
         control = {i for i in every if sp.is_control(i)}
@@ -95,7 +92,7 @@ class Model(IdCache):
                     end, i = left[i][2], i + 1
                 else:
                     begin, j = right[j][1], j + 1
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > 200_000:
                 self._fits.clear()
             self._fits[a, b] = known
         return known
@@ -116,7 +113,12 @@ class Model(IdCache):
                 return
             best[end], last[end] = before + value, piece
 
-        for at, piece in self.automaton.iter(text) if self.number else ():
+        if self.automaton is None and self.number:
+            self.automaton = ahocorasick.Automaton()
+            for piece in self.number:
+                self.automaton.add_word(piece, piece)
+            self.automaton.make_automaton()
+        for at, piece in self.automaton.iter(text) if self.automaton else ():
             while done < at:  # positions that no piece ends at
                 done += 1
                 if best[done] is None:
@@ -170,11 +172,9 @@ class Model(IdCache):
         return [x[1:] if x[:1] == " " else x for x in out]
 
 
-_models: dict[tuple[str, str], Model] = {}
-
-
 def _model(path: str, kind: str) -> Model:
-    return _models.get((path, kind)) or _models.setdefault((path, kind), Model(path, kind))
+    own = worker_cache("sentence_pieces")
+    return own.get((path, kind)) or own.setdefault((path, kind), Model(path, kind))
 
 
 def encode(docs: DataFrame, model: str, kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,6 +194,7 @@ def encode(docs: DataFrame, model: str, kind: str = "bpe", id_col: str = "doc_id
             crc = [zlib.crc32(flat[x:y]) for x, y in zip(to[:-1].tolist(), to[1:].tolist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(to), pa.array(flat)), pa.array(crc, pa.int64())], ["doc_id", "ids", "ids_crc32"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(of, "doc_id long, ids array<int>, ids_crc32 long")
 
 

@@ -7,6 +7,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch, unless the session sets another number than Spark's own: texts may be long.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Have the session send rows to Python in smaller batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 _made: list[str] = []
 
 

@@ -29,8 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lekha.llm.components import components
-from lekha.llm.shared import written
-from lekha.llm.text import LOWER, U64, Texts, gram_hash, joined, mix, slices, span_hash, texts, words
+from lekha.llm.shared import bounded_batches, written
+from lekha.llm.text import LOWER, U64, Texts, gram_hash, joined, mix, slices, span_hash, texts, words, worker_cache
 
 #: Fingerprints from which vantage points and radii are chosen; the rest only follow them.
 SAMPLE = 4096
@@ -68,9 +68,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash")
         for b in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_fold(texts(b.column("text")), shingle).view(np.int64))], ["doc_id", "fingerprint"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     return rows.mapInArrow(of, "doc_id long, fingerprint long")
 
@@ -270,6 +272,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash")
         for b in slices(batches, "text"):
             t = texts(b.column("text"))
             m = _minima(t, shingle)
@@ -281,6 +284,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
             columns = [b.column("doc_id"), pa.array(_fold(t, shingle).view(np.int64)), pa.array([r.tobytes() for r in m], pa.binary()), lists]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fingerprint", "sketch", "keys"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     rows = written(rows.mapInArrow(of, "doc_id long, fingerprint long, sketch binary, keys array<long>"), "sketches")
     groups = written(_by_fingerprint(rows.select("doc_id", "fingerprint"), radius), "by_fingerprint")

@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lekha.llm.text import U64, Texts, Words, gram_hash, joined, ragged, slices, span_hash, texts, words
+from lekha.llm.shared import bounded_batches
+from lekha.llm.text import U64, Texts, Words, gram_hash, joined, ragged, slices, span_hash, texts, words, worker_cache
 
 #: About so many sent words to a bucket.
-BUCKET_WORDS = 1_500_000
+BUCKET_WORDS = 1_000_000
 _OTHER = U64(0xA0761D6478BD642F)
 
 
@@ -152,12 +153,14 @@ def repeated_ranges(docs: DataFrame, window: int = 20, gram: int = 3, id_col: st
 
     Earlier: in a smaller doc_id, or in the same document before. The ranges of a document may overlap.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, size // 2 // BUCKET_WORDS)  # a word takes some six bytes and is sent three times
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 3 << 20):
+        worker_cache("substrings")
+        for b in slices(batches, "text"):
             out = _send(b.column("doc_id").to_numpy(), texts(b.column("text")), window, gram, buckets)
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["bucket", "packed"])
 
@@ -183,6 +186,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 3, id_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep).where("doc_id is not null").join(ranges, "doc_id", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("substrings")
         for b in slices(batches, "text"):
             t = texts(b.column("text"))
             w = words(t)

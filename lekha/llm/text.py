@@ -1,11 +1,14 @@
 """Numpy helpers over Arrow string columns, shared by the operators of this subpackage.
 
-Everything works on slices of a few MB of text, so that memory in a task does not
+Everything works on slices of about a MB of text, so that memory in a task does not
 depend on the number of rows in a batch; a single longer text is a slice of its own.
 """
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -13,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
-_STRETCH = 1 << 20
+SLICE_BYTES = 1 << 20
+_STRETCH = 1 << 18
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _GRAM = U64(0xC2B2AE3D27D4EB4F | 1)
@@ -86,6 +89,20 @@ def gram_hash(hashes: np.ndarray, n: int) -> np.ndarray:
     return span_hash(hashes, starts, starts + n, _GRAM)
 
 
+_kept: dict[str, dict] = {}
+
+
+def worker_cache(operator: str) -> dict:
+    """What a Python worker keeps between tasks of one operator; what others kept there goes."""
+    if operator not in _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)  # else freed memory stays with the worker
+    return _kept.setdefault(operator, {})
+
+
 class Texts(NamedTuple):
     """Some rows' texts as UTF-8; row r is data[begin[r]:begin[r + 1]]."""
 
@@ -197,6 +214,8 @@ def joined(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     length = end - start
     to = np.cumsum(length + 1) - (length + 1)
     out = np.full(int(to[-1] + length[-1]) + 1 if len(to) else 0, 0x20, np.uint8)
-    at = ragged(start, length)
-    out[at + np.repeat(to - start, length)] = data[at]
+    edge = np.unique(np.append(np.searchsorted(to, np.arange(0, len(out), _STRETCH // 2)), len(to)))
+    for a, b in zip(edge[:-1], edge[1:]):  # in stretches, for bounded index arrays
+        at = ragged(start[a:b], length[a:b])
+        out[at + np.repeat(to[a:b] - start[a:b], length[a:b])] = data[at]
     return out, to

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lekha.llm.pretoken import PieceCache, pieces
-from lekha.llm.text import U64, Table, mix, slices
+from lekha.llm.shared import bounded_batches
+from lekha.llm.text import U64, Table, mix, slices, worker_cache
 
 CHUNK = 512
 _LOOK_BACK = 96
@@ -193,9 +194,6 @@ class _Counter(PieceCache):
         return np.bincount(row, self.value[found], len(texts)).astype(np.int64)
 
 
-_counters: dict[str, _Counter] = {}
-
-
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every text, as the `tokenizers` library counts it.
 
@@ -205,11 +203,13 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _counters.get(tokenizer) or _counters.setdefault(tokenizer, _Counter(tokenizer))
+        own = worker_cache("token_counts")
+        count = own.get(tokenizer) or own.setdefault(tokenizer, _Counter(tokenizer))
         for b in slices(batches, "text"):
             n = count([x or "" for x in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
+    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     return rows.mapInArrow(of, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lekha.llm.pretoken import IdCache, pieces
-from lekha.llm.text import slices
+from lekha.llm.shared import bounded_batches
+from lekha.llm.text import slices, worker_cache
 
 _BLOCK = 512
 #: Tables of at most so many short rows are sent to all executors in a join.
@@ -140,9 +141,6 @@ class _Encoder(IdCache):
         return self.ids(found, row, len(texts))
 
 
-_encoders: dict[str, _Encoder] = {}
-
-
 def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text and write its ids, then `end_id`, in ascending id order under `path`.
 
@@ -152,7 +150,8 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int | None =
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, _Encoder(tokenizer))
+        own = worker_cache("token_store")
+        encode = own.get(tokenizer) or own.setdefault(tokenizer, _Encoder(tokenizer))
         part, local = TaskContext.get().partitionId(), 0
         for b in slices(batches, "text"):
             count, ids = encode([x or "" for x in b.column("text").to_pylist()])
@@ -162,6 +161,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int | None =
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([local]), pa.array([len(ids)]), pa.array([blob], pa.binary())], ["part", "local", "n_tokens", "segment"])
             local += len(ids)
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     rows.mapInArrow(of, "part long, local long, n_tokens long, segment binary").write.option("compression", "zstd").parquet(path)

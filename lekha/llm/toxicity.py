@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lekha.llm.text import LOWER, U64, Table, Texts, joined, mix, slices, texts, words
+from lekha.llm.shared import bounded_batches
+from lekha.llm.text import LOWER, U64, Table, Texts, joined, mix, slices, texts, words, worker_cache
 
 #: Labelled rows of each class that the models learn from, at most; chosen by a hash of the id.
 SAMPLE = 2000
@@ -172,6 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     The curve weighs the classes as all such labelled rows have them.
     None where a class has no rows. Rows with a null id, text or label do not teach.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % folds != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(11))
@@ -181,6 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").join(few, "doc_id")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")
         got = pa.Table.from_batches([b for b in batches if b.num_rows] or [pa.RecordBatch.from_pylist([], pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int32())]))])
         got = got.sort_by([("toxic", "ascending"), ("doc_id", "ascending")]).combine_chunks()
         toxic = got.column("toxic").to_numpy()
@@ -203,15 +206,18 @@ def toxicity(docs: DataFrame, models: Models | None, folds: int = 5, keep: tuple
     (a null id is not). Every row gives one row.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     sent = spark.sparkContext.broadcast(models)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == 0, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
+    others = [c for c in keep if c != text_col]  # the text goes along once
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == 0, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(others)])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")
         model = sent.value
         for b in slices(batches, "text"):
             score = model.score(b.column("text")) if model else np.zeros(b.num_rows)
-            rest = b.columns[3:]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), *rest], ["doc_id", "held_out", "score", "predicted", *[f"kept_{i}" for i in range(len(rest))]])
+            kept = [b.column("text") if c == text_col else b.column(3 + others.index(c)) for c in keep]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), *kept], ["doc_id", "held_out", "score", "predicted", *[f"kept_{i}" for i in range(len(kept))]])
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     for i, c in enumerate(keep):
