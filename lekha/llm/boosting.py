@@ -12,7 +12,7 @@ class Boosted:
         self.edges, self.feature, self.at, self.value, self.base = edges, feature, at, value, base
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 40, depth: int = 4, rate: float = 0.3, bins: int = 16, ridge: float = 1.0) -> Boosted:
+    def fit(cls, x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.3, bins: int = 16, ridge: float = 1.0) -> Boosted:
         n, m = x.shape
         edges = np.quantile(x, np.linspace(0, 1, bins + 1)[1:-1], axis=0).T.astype(np.float32)
         binned = np.stack([np.searchsorted(edges[f], x[:, f], "left") for f in range(m)], axis=1)
