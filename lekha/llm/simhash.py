@@ -10,8 +10,9 @@ list of (point, radius) and does not grow with the corpus but by one entry for e
 
 Balls tell fingerprints apart up to a few bits; texts with four fifths of their five-word shingles in
 common differ in some ten bits of 64, where every ball would have to be visited. `similar_documents`
-therefore joins the classes that the fingerprints leave by a second sketch of the same shingles: the
-least of each of many hash functions, compared wherever seven in a row agree.
+therefore has a second source of candidates, another sketch of the same shingles: the least of each of
+many hash functions, compared wherever five in a row agree. Both only propose: documents that
+candidates join are compared by their sets of shingles, and these alone decide.
 
 Equal fingerprints are one node, so groups of copies do not reach a leaf; a leaf with more than
 `leaf` rows is dealt in pairs of blocks, so no task gets an unbounded group.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lekha.llm.components import components
 from lekha.llm.shared import bounded_batches, written
-from lekha.llm.text import LOWER, U64, Texts, gram_hash, joined, mix, slices, span_hash, texts, words, worker_cache
+from lekha.llm.text import LOWER, U64, Texts, gram_hash, joined, mix, ragged, slices, span_hash, texts, words, worker_cache
 
 #: Fingerprints from which vantage points and radii are chosen; the rest only follow them.
 SAMPLE = 4096
@@ -192,22 +194,30 @@ def _by_fingerprint(rows: DataFrame, radius: int) -> DataFrame:
     return rows.join(group, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-#: Minima of a sketch, and how many in a row make the key under which sketches meet.
-MINIMA, ROW = 126, 7
+#: Minima of a sketch, and how many in a row make the key under which sketches meet: at a similarity of
+#: 0.8 no key of 25 agrees for one pair in 20,000.
+MINIMA, ROW = 125, 5
 _FACTORS = mix(np.arange(1, MINIMA + 1, dtype=U64)) | U64(1)
 #: Sketches compared in one block.
 _BLOCK = 1000
+#: Sets of shingles compared in one block, and shingles in it.
+_SETS, _SHINGLES = 500, 1_000_000
 
 
-def _minima(t: Texts, shingle: int) -> np.ndarray:
-    """The least value of each hash function over each row's shingles, upper halves; all ones without words."""
+class Shingles(NamedTuple):
+    values: np.ndarray  # hashes, text by text
+    begin: np.ndarray  # where those of each text with words begin
+    full: np.ndarray  # the texts with words
+    rows: int
+
+
+def _shingles(t: Texts, shingle: int) -> Shingles:
     low = LOWER[t.data]
     w = words(Texts(low, t.begin))
     h, n = span_hash(low, w.start, w.end), np.diff(w.first)
-    out = np.full((len(t), MINIMA), 0xFFFFFFFF, np.uint32)
     full = np.flatnonzero(n)
     if not len(full):
-        return out
+        return Shingles(np.zeros(0, U64), full, full, len(t))
     grams = gram_hash(h, shingle)
     count = np.maximum(1, n - shingle + 1)[full]
     at = np.repeat(w.first[:-1][full] - (np.cumsum(count) - count), count) + np.arange(count.sum())
@@ -216,11 +226,54 @@ def _minima(t: Texts, shingle: int) -> np.ndarray:
     begin = np.cumsum(count) - count
     if len(few):
         values[begin[few]] = span_hash(h, w.first[:-1][full][few], w.first[1:][full][few])
-    for k, f in enumerate(_FACTORS):
-        out[full, k] = np.minimum.reduceat(values * f, begin) >> U64(32)
+    return Shingles(values, begin, full, len(t))
+
+
+def _minima(s: Shingles) -> np.ndarray:
+    """The least value of each hash function over each row's shingles, upper halves; all ones without words."""
+    out = np.full((s.rows, MINIMA), 0xFFFFFFFF, np.uint32)
+    if len(s.full):
+        for k, f in enumerate(_FACTORS):
+            out[s.full, k] = np.minimum.reduceat(s.values * f, s.begin) >> U64(32)
     return out
 
 
+def _sets(s: Shingles) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's different shingles, values[first[r]:first[r + 1]], and a 64-bit hash of the set."""
+    row = np.repeat(s.full, np.diff(np.append(s.begin, len(s.values))))
+    order = np.lexsort((s.values, row))
+    row, values = row[order], s.values[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (values[1:] != values[:-1])
+    row, values = row[new], values[new]
+    first = np.searchsorted(row, np.arange(s.rows + 1))
+    total = np.append(U64(0), np.cumsum(mix(values ^ U64(0x9E3779B97F4A7C15)), dtype=U64))[first]
+    return values, first, mix((total[1:] - total[:-1]) + np.diff(first).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
+def _alike(values: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
+    """The least index that each set reaches by links, of one in left with one in right, of at least that Jaccard similarity."""
+    size, root = np.diff(first), np.arange(len(first) - 1)
+    number = np.unique(values, return_inverse=True)[1]
+    mine = np.zeros(len(values), np.uint8)
+    right = right[np.argsort(size[right], kind="stable")]
+    ranked = size[right]
+    for i in left[size[left] > 0].tolist():
+        near = right[np.searchsorted(ranked, math.ceil(size[i] * similarity - 1e-6)) : np.searchsorted(ranked, math.floor(size[i] / similarity + 1e-6), "right")]
+        near = near[root[near] != root[i]]
+        if not len(near):
+            continue
+        mine[number[first[i] : first[i + 1]]] = 1
+        count = size[near]
+        both = np.add.reduceat(mine[number[ragged(first[near], count)]], np.cumsum(count) - count, dtype=np.int64)
+        mine[number[first[i] : first[i + 1]]] = 0
+        hit = near[both / (size[i] + count - both) >= similarity]
+        if len(hit):
+            roots = np.unique(np.append(root[hit], root[i]))
+            root[np.isin(root, roots)] = roots[0]
+    return root
+
+
 def _agree(x: np.ndarray, y: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of sketches with at least so many equal minima."""
     left, right = [], []
@@ -236,10 +289,11 @@ def _agree(x: np.ndarray, y: np.ndarray, least: int) -> tuple[np.ndarray, np.nda
 def sketch_links(sketches: DataFrame, similarity: float) -> DataFrame:
     """sketches (id, sketch, keys), one for each different sketch -> (u, v): links that join ids of similar sketches.
 
+    Pairs with that similarity agree in fewer minima than asked for about once in a million.
     Sketches that share a key are compared; a group is dealt in pairs of blocks, and each pair of
     blocks gives a spanning forest of its links.
     """
-    least = math.ceil(MINIMA * similarity - math.sqrt(MINIMA * similarity * (1 - similarity)))  # a standard error below
+    least = math.ceil(MINIMA * similarity - 5 * math.sqrt(MINIMA * similarity * (1 - similarity)))  # five standard errors below
     keyed = sketches.select("id", F.explode("keys").alias("key"))
     size = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / _BLOCK).cast("int").alias("blocks"))
     size = written(size, "keys")
@@ -263,36 +317,67 @@ def sketch_links(sketches: DataFrame, similarity: float) -> DataFrame:
     return dealt.groupBy("key", "i", "j").applyInArrow(compare, "u long, v long").distinct()
 
 
+def set_links(sets: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """sets (node, root, n, text): texts by the hashes and sizes of their sets -> (u, v): links that join nodes of one root.
+
+    All pairs of one root are compared, and exactly. A root is dealt in pairs of blocks, and each pair
+    of blocks gives a spanning forest of its links. A text whose set has another hash than its node is passed over.
+    """
+    size = sets.groupBy("root").agg(F.count("*").alias("many"), F.sum("n").alias("n"))
+    size = written(size.select("root", F.ceil(F.greatest(F.col("many") / _SETS, F.col("n") / _SHINGLES, F.lit(1))).cast("int").alias("blocks")), "roots")
+    dealt = sets.join(F.broadcast(size) if size.count() <= SMALL else size, "root")
+    b = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
+    dealt = dealt.withColumn("b", b).select("root", "node", "text", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    dealt = dealt.select("root", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "node", "text")
+
+    def compare(key, table):
+        values, first, own = _sets(_shingles(texts(table.column("text")), shingle))
+        node, mine = table.column("node").to_numpy(), table.column("b").to_numpy() == key[1].as_py()
+        right = np.flatnonzero(own.view(np.int64) == node)
+        right = right[np.unique(node[right], return_index=True)[1]]
+        left, alone = right[mine[right]], key[1].as_py() == key[2].as_py()
+        root = _alike(values, first, left, left if alone else right[~mine[right]], similarity)
+        linked = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"u": node[linked], "v": node[root[linked]]})
+
+    return dealt.groupBy("root", "i", "j").applyInArrow(compare, "u long, v long")
+
+
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id): documents linked by fingerprints of their shingles, or by `similarity` of these.
+    """(doc_id, component_id): documents linked by `similarity` of their shingles.
 
-    Similarity is the share of all their different shingles that two documents have in common,
-    estimated from MINIMA hash functions; pairs up to a standard error below the bound link too.
-    Rules for ids, nulls and wordless texts as for near_duplicates.
+    Similarity is the share of all their different shingles (by 64-bit hashes) that two documents
+    have in common. Candidates are pairs with fingerprints at distance <= radius and pairs of similar
+    sketches; all documents that candidates join are compared exactly, and only pairs at the bound
+    or above link. Rules for ids, nulls and wordless texts as for near_duplicates; these texts are alike.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("simhash")
         for b in slices(batches, "text"):
             t = texts(b.column("text"))
-            m = _minima(t, shingle)
+            s = _shingles(t, shingle)
+            m, (_, first, node) = _minima(s), _sets(s)
             rows = m[:, : MINIMA // ROW * ROW].reshape(len(t), -1, ROW).astype(U64)
             keys = np.zeros(rows.shape[:2], U64) + np.arange(rows.shape[1], dtype=U64)
             for k in range(ROW):
                 keys = mix(keys * U64(0x9E3779B97F4A7C15) + rows[:, :, k])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(t) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel().view(np.int64)))
-            columns = [b.column("doc_id"), pa.array(_fold(t, shingle).view(np.int64)), pa.array([r.tobytes() for r in m], pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fingerprint", "sketch", "keys"])
+            columns = [b.column("doc_id"), pa.array(node.view(np.int64)), pa.array(np.diff(first)), pa.array(_fold(t, shingle).view(np.int64)), pa.array([r.tobytes() for r in m], pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "fingerprint", "sketch", "keys"])
 
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    rows = written(rows.mapInArrow(of, "doc_id long, fingerprint long, sketch binary, keys array<long>"), "sketches")
-    groups = written(_by_fingerprint(rows.select("doc_id", "fingerprint"), radius), "by_fingerprint")
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    different = rows.join(first, "doc_id", "left_semi").groupBy(F.xxhash64("sketch").alias("a"), F.xxhash64("sketch", F.lit(1)).alias("b"))
-    different = written(different.agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"), F.collect_set("doc_id").alias("ids")), "different")
-    alike = different.where("size(ids) > 1").select(F.explode("ids").alias("u"), F.col("id").alias("v"))
-    found = components(sketch_links(different, similarity).unionByName(alike)).withColumnRenamed("node", "component_id")
-    found = written(found.where("component_id > root"), "joined")
-    out = groups.join(F.broadcast(found) if found.count() <= SMALL else found, "component_id", "left")
-    return out.select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    rows = written(docs.mapInArrow(of, "doc_id long, node long, n long, fingerprint long, sketch binary, keys array<long>"), "sketches")
+    different = rows.groupBy("node").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.min("fingerprint").alias("fingerprint"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    different = written(different, "different")
+    near = _by_fingerprint(different.select(F.col("node").alias("doc_id"), "fingerprint"), radius).select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
+    close = sketch_links(different.select(F.col("node").alias("id"), "sketch", "keys"), similarity)
+    candidates = components(near.where("u != v").unionByName(close))
+    sets = written(candidates.join(different.select("node", "id", "n"), "node"), "candidates")
+    sets = sets.join(docs.withColumnRenamed("doc_id", "id"), "id").select("node", "root", "n", "text")
+    found = components(set_links(sets, similarity, shingle)).join(different.select("node", "id"), "node")
+    least = found.groupBy("root").agg(F.min("id").alias("least"))
+    found = written(found.join(least, "root").select("node", "least"), "joined")
+    group = written(different.select("node", "id").join(F.broadcast(found) if found.count() <= SMALL else found, "node", "left").select("node", F.coalesce("least", "id").alias("component_id")), "groups")
+    return rows.select("doc_id", "node").join(group, "node").select("doc_id", "component_id")

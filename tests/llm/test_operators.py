@@ -432,3 +432,29 @@ def test_sketch_links_in_blocks(spark, monkeypatch):
         rows.append((i, bytearray(s.tobytes()), [1, 1000 + i]))
     found = components(simhash.sketch_links(spark.createDataFrame(rows, "id long, sketch binary, keys array<long>"), 0.8))
     assert {r.node: r.root for r in found.collect()} == {i: 1 for i in range(1, 60, 2)}
+
+
+def test_similar_documents_around_the_bound(spark):
+    """Pairs from 0.7 to 0.9, and one at 0.8 exactly: all at the bound or above link, none below."""
+    rng = np.random.default_rng(11)
+    texts, number = {}, iter(range(10**9))
+    fresh = lambda n: [f"t{next(number)}" for _ in range(n)]
+    for g in range(400):
+        base = fresh(300)
+        end = int(rng.integers(16, 54))  # the last words differ
+        texts[2 * g], texts[2 * g + 1] = " ".join(base), " ".join(base[:-end] + fresh(end))
+    same = fresh(12)
+    texts |= {1000: " ".join(same + ["x"]), 1001: " ".join(same + ["y"]), 1002: " ".join(same[:8] + ["z"])}  # 8 of 10, 4 of 10
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts.items()}
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8
+    want = {i: i - i % 2 if alike(i - i % 2, i) else i for i in texts}
+    assert want[1001] == 1000 and 100 < sum(i != j for i, j in want.items()) < 300
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()}
+    assert got == want
+
+
+def test_set_links_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "_SETS", 7)
+    texts = {i: " ".join(["a b c d e f g h i j k l m n o p q r s t u v w x y z" if i % 2 else " ".join(f"{i}w{k}" for k in range(25)), f"end{i}"]) for i in range(60)}
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {i: 1 if i % 2 else i for i in texts}
