@@ -7,12 +7,17 @@ and equal windows always meet. There all windows are sorted and each but the fir
 
 Equal super-k-mers of one slice of documents are settled where they are read: only the first is sent,
 so a passage that many documents share comes to its bucket once for each slice, not for each document.
+
+A line that many documents have between different neighbours gives each of them other super-k-mers of
+one minimiser. Words are therefore counted by minimiser first; windows of one with more than HOT_WORDS
+travel singly, to the bucket of the hash of all their words, where equal windows meet as well.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lekha.llm.shared import bounded_batches
-from lekha.llm.text import U64, Texts, Words, gram_hash, joined, ragged, slices, span_hash, texts, words, worker_cache
+from lekha.llm.text import U64, Texts, Words, gram_hash, joined, mix, ragged, slices, span_hash, texts, words, worker_cache
 
 #: About so many sent words to a bucket.
 BUCKET_WORDS = 1_000_000
+#: No minimiser brings more words to its bucket.
+HOT_WORDS = 250_000
 _OTHER = U64(0xA0761D6478BD642F)
 
 
@@ -56,12 +63,31 @@ def _runs(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _send(doc_id: np.ndarray, t: Texts, window: int, gram: int, buckets: int) -> list[tuple[int, bytes]]:
-    w = words(t)
+class Pieces(NamedTuple):
+    """The super-k-mers of a slice, those of hot minimisers cut into windows."""
+
+    first: np.ndarray
+    last: np.ndarray
+    least: np.ndarray
+    key: np.ndarray  # equal for equal windows
+    doc: np.ndarray
+    place: np.ndarray
+    sent: np.ndarray
+    again: np.ndarray  # the same stands earlier in this slice
+
+
+def _pieces(doc_id: np.ndarray, t: Texts, w: Words, window: int, gram: int, hot: np.ndarray) -> Pieces | None:
+    """hot: minimisers, sorted."""
     hashes = span_hash(t.data, w.start, w.end)
     first, last, least = _super_kmers(w, hashes, window, gram)
     if not len(first):
-        return []
+        return None
+    single = np.zeros(len(first), bool)
+    if len(hot):
+        single = hot[np.minimum(np.searchsorted(hot, least), len(hot) - 1)] == least
+        many = np.where(single, last - first + 1, 1)
+        first, last, least, single = ragged(first, many), np.repeat(last, many), np.repeat(least, many), np.repeat(single, many)
+        last = np.where(single, first, last)
     doc = doc_id[w.row[first]]
     place = first - w.first[w.row[first]]
     one, two = (span_hash(h, first, last + window, U64(0xC2B2AE3D27D4EB4F | 1)) for h in (hashes, hashes ^ _OTHER))
@@ -73,12 +99,24 @@ def _send(doc_id: np.ndarray, t: Texts, window: int, gram: int, buckets: int) ->
     sent[order[head]] = True
     again = np.zeros(len(order), bool)
     again[order] = (doc[order] != doc[leader]) | (place[order] != place[leader])
-    bucket = (least % U64(buckets)).astype(np.int64)
-    # repeats found here: ranges of windows
+    return Pieces(first, last, least, np.where(single, one, least), doc, place, sent, again)
+
+
+def _send(doc_id: np.ndarray, t: Texts, window: int, gram: int, buckets: int, hot: np.ndarray) -> list[tuple[int, bytes]]:
+    """What goes to each bucket, and under a number below zero the repeats found here."""
+    w = words(t)
+    found = _pieces(doc_id, t, w, window, gram, hot)
+    if found is None:
+        return []
+    first, last, _, key, doc, place, sent, again = found
+    bucket = (key % U64(buckets)).astype(np.int64)
+    squeeze, out = zstandard.ZstdCompressor(level=3), []
     r = np.flatnonzero(again)
-    begin = _runs(doc[r], place[r], place[r] + last[r] - first[r])
-    known = np.stack([doc[r[begin]], place[r[begin]], (place[r] + last[r] - first[r])[np.append(begin[1:], len(r)) - 1]]) if len(r) else np.zeros((3, 0), np.int64)
-    at = bucket[r[begin]] if len(r) else np.zeros(0, np.int64)
+    if len(r):
+        begin = _runs(doc[r], place[r], place[r] + last[r] - first[r])
+        known = np.stack([doc[r[begin]], place[r[begin]], (place[r] + last[r] - first[r])[np.append(begin[1:], len(r)) - 1]])
+        own = -1 - int(mix(doc[r[:1]].astype(np.int64).view(U64) ^ U64(len(key)))[0] % U64(buckets))
+        out.append((own, squeeze.compress(np.concatenate([[0, known.shape[1]], known.ravel()]).astype(np.int64).tobytes())))
     s = np.flatnonzero(sent)
     s = s[np.argsort(bucket[s], kind="stable")]
     count = last[s] - first[s] + window
@@ -86,19 +124,44 @@ def _send(doc_id: np.ndarray, t: Texts, window: int, gram: int, buckets: int) ->
     packed, to = joined(t.data, w.start[at_word], w.end[at_word])
     cut = np.append(to, len(packed))[np.append(0, np.cumsum(count))]
     edges = np.append(np.flatnonzero(np.diff(bucket[s], prepend=-1)), len(s))
-    squeeze, out, left = zstandard.ZstdCompressor(level=3), [], np.ones(len(at), bool)
     for a, b in zip(edges[:-1], edges[1:]):
-        k = int(bucket[s[a]])
-        own = np.flatnonzero(at == k)
-        left[own] = False
-        head = np.concatenate([[b - a, len(own)], doc[s[a:b]], place[s[a:b]], count[a:b], known[:, own].ravel()]).astype(np.int64)
-        out.append((k, squeeze.compress(head.tobytes() + packed[cut[a] : cut[b]].tobytes())))
-    if left.any():
-        own = np.flatnonzero(left)
-        out.append((int(at[own[0]]), squeeze.compress(np.concatenate([[0, len(own)], known[:, own].ravel()]).astype(np.int64).tobytes())))
+        head = np.concatenate([[b - a, 0], doc[s[a:b]], place[s[a:b]], count[a:b]]).astype(np.int64)
+        out.append((int(bucket[s[a]]), squeeze.compress(head.tobytes() + packed[cut[a] : cut[b]].tobytes())))
     return out
 
 
+def _hot(rows: DataFrame, window: int, gram: int) -> np.ndarray:
+    """All minimisers with more than HOT_WORDS words to send, and some with more than half of that; sorted.
+
+    A task names those of which it has more than its share of HOT_WORDS / 2, so what tasks do not name
+    never comes to more than that half.
+    """
+    share = HOT_WORDS / 2 / max(1, rows.rdd.getNumPartitions())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("substrings")
+        least, n, waiting = np.zeros(0, U64), np.zeros(0, np.int64), []
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            keys, at = np.unique(np.concatenate([least, *(x for x, _ in waiting)]), return_inverse=True)
+            return keys, np.bincount(at, np.concatenate([n, *(x for _, x in waiting)]), len(keys)).astype(np.int64)
+
+        for b in slices(batches, "text"):
+            t = texts(b.column("text"))
+            found = _pieces(b.column("doc_id").to_numpy(), t, words(t), window, gram, np.zeros(0, U64))
+            if found is not None:
+                waiting.append((found.least[found.sent], (found.last - found.first + window)[found.sent]))
+            if sum(len(x) for x, _ in waiting) > max(1_000_000, len(least)):
+                least, n = summed()
+                waiting.clear()
+        least, n = summed()
+        much = n > share
+        yield pa.RecordBatch.from_arrays([pa.array(least[much].view(np.int64)), pa.array(n[much])], ["least", "n"])
+
+    found = rows.mapInArrow(count, "least long, n long").groupBy("least").agg(F.sum("n").alias("n")).where(F.col("n") > HOT_WORDS / 2)
+    return np.sort(np.array([r.least for r in found.collect()], np.int64).view(U64))
+
+
 def _repeats(blobs: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, first, last): the windows of one bucket whose words also start earlier."""
     doc, place, count, known, data, open_ = [], [], [], [np.zeros((3, 0), np.int64)], [], zstandard.ZstdDecompressor()
@@ -157,11 +220,12 @@ def repeated_ranges(docs: DataFrame, window: int = 20, gram: int = 3, id_col: st
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, size // 2 // BUCKET_WORDS)  # a word takes some six bytes and is sent three times
+    hot = _hot(rows, window, gram)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("substrings")
         for b in slices(batches, "text"):
-            out = _send(b.column("doc_id").to_numpy(), texts(b.column("text")), window, gram, buckets)
+            out = _send(b.column("doc_id").to_numpy(), texts(b.column("text")), window, gram, buckets, hot)
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["bucket", "packed"])
 
     def settle(table):

@@ -458,3 +458,31 @@ def test_set_links_in_blocks(spark, monkeypatch):
     texts = {i: " ".join(["a b c d e f g h i j k l m n o p q r s t u v w x y z" if i % 2 else " ".join(f"{i}w{k}" for k in range(25)), f"end{i}"]) for i in range(60)}
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert got == {i: 1 if i % 2 else i for i in texts}
+
+
+def test_hot_line_is_dealt_by_windows(spark, monkeypatch):
+    """One line between different neighbours in all documents: no bucket gets it from all, and the result is the same."""
+    monkeypatch.setattr(substrings, "HOT_WORDS", 2000)
+
+    def least(line):
+        t = substrings.texts(pa.array([line]))
+        w = substrings.words(t)
+        return substrings.gram_hash(substrings.span_hash(t.data, w.start, w.end), 3).min()
+
+    line = min((" ".join(f"line{n}x{k}" for k in range(8)) for n in range(100)), key=least)
+    texts = {i: " ".join([*(f"a{i}x{k}" for k in range(40)), line, *(f"b{i // 2}x{k}" for k in range(40)), line]) for i in range(600)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    hot = substrings._hot(docs, 20, 3)
+    assert hot.tolist() == [least(line)]
+    most = []
+    for names in (hot[:0], hot):
+        sent = Counter()
+        for k, x in substrings._send(np.array(list(texts)), substrings.texts(pa.array(list(texts.values()))), 20, 3, 64, names):
+            x = substrings.zstandard.ZstdDecompressor().decompress(x)
+            n, known = np.frombuffer(x, np.int64, 2)
+            assert n == 0 if k < 0 else known == 0
+            sent[k] += len(x) if k >= 0 else 0
+        most.append(max(sent.values()) / sum(sent.values()))
+    assert most[0] > 0.2 and most[1] < 0.1
+    got = by_id(substrings.remove_repeats(docs))
+    assert {i: (r.n_words, r.n_removed, r.kept_sha256, r.kept) for i, r in got.items()} == without_repeats(texts)
