@@ -1,12 +1,4 @@
-"""SimHash near-duplicates with a vantage-point partition of the fingerprints.
-
-A fingerprint goes down a tree of balls: at each level its Hamming distance to that level's
-vantage point decides between inside and outside. Two fingerprints at distance <= r differ by at
-most r in their distance to any vantage point, so one that lies inside but within r of the sphere
-also visits the outside; linked fingerprints then meet in the leaf that takes every outside turn of
-either. Within a leaf, only fingerprints whose distances to one more vantage point differ by at
-most r are compared, exactly. All fingerprints of a level share one vantage point, so the tree is a
-list of (point, radius) and does not grow with the corpus but by one entry for each doubling.
+"""SimHash near-duplicates: equal fingerprints are one node, and vantage-point trees (lekha.llm.vantage) find those close by.
 
 Balls tell fingerprints apart up to a few bits; texts with four fifths of their five-word shingles in
 common differ in some ten bits of 64, where every ball would have to be visited. `similar_documents`
@@ -14,8 +6,7 @@ therefore has a second source of candidates, another sketch of the same shingles
 many hash functions, compared wherever five in a row agree. Both only propose: documents that
 candidates join are compared by their sets of shingles, and these alone decide.
 
-Equal fingerprints are one node, so groups of copies do not reach a leaf; a leaf with more than
-`leaf` rows is dealt in pairs of blocks, so no task gets an unbounded group.
+Equal fingerprints and equal sets are one node, so groups of copies never meet.
 """
 
 from __future__ import annotations
@@ -27,16 +18,15 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lekha.llm.components import components
 from lekha.llm.shared import bounded_batches, written
 from lekha.llm.text import LOWER, U64, Texts, gram_hash, joined, mix, ragged, slices, span_hash, texts, words, worker_cache
+from lekha.llm.vantage import forest, links
 
-#: Fingerprints from which vantage points and radii are chosen; the rest only follow them.
-SAMPLE = 4096
-#: Leaf tables of at most so many rows of 24 bytes are sent to all executors.
+#: Tables of at most so many rows of 24 bytes are sent to all executors.
 SMALL = 500_000
 
 
@@ -79,100 +69,6 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return rows.mapInArrow(of, "doc_id long, fingerprint long")
 
 
-def vantage_levels(sample: np.ndarray, depth: int, radius: int, seed: int = 7) -> list[tuple[int, int]]:
-    """(vantage point, ball radius) of each level: the candidate whose two sides, visitors included, are smallest."""
-    out, rng = [], np.random.default_rng(seed)
-    for _ in range(depth):
-        best = None
-        for v in rng.choice(sample, min(24, len(sample)), replace=False):
-            d = np.bitwise_count(sample ^ v).astype(int)
-            count = np.cumsum(np.bincount(d, minlength=65)) / len(d)
-            for m in range(radius, 64):
-                inside, outside = count[m], 1 - count[m - radius]
-                if best is None or max(inside, outside) < best[0]:
-                    best = (max(inside, outside), int(v.astype(np.int64)), m)
-        out.append(best[1:])
-    return out
-
-
-def _near(x: np.ndarray, y: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i in x, j in y, or i < j within x) at Hamming distance <= radius."""
-    v = x[0]
-    dx = np.bitwise_count(x ^ v).astype(np.int16)
-    ox = np.argsort(dx, kind="stable")
-    other = x if y is None else y
-    dy = np.bitwise_count(other ^ v).astype(np.int16)
-    oy = np.argsort(dy, kind="stable")
-    sx, sy, left, right = x[ox], other[oy], [], []
-    for d in np.unique(dx):
-        a, b = np.searchsorted(dx[ox], [d, d + 1])
-        c, e = np.searchsorted(dy[oy], [d if y is None else d - radius, d + radius + 1])
-        for at in range(a, b, 512):
-            i, j = np.nonzero(np.bitwise_count(sx[at : min(b, at + 512), None] ^ sy[None, c:e]) <= radius)
-            left.append(ox[i + at])
-            right.append(oy[j + c])
-    i, j = np.concatenate(left), np.concatenate(right)
-    keep = i != j if y is None else slice(None)
-    return i[keep], j[keep]
-
-
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least index that each of n nodes reaches over the pairs."""
-    root = np.arange(n)
-    while True:
-        new = root.copy()
-        np.minimum.at(new, i, root[j])
-        np.minimum.at(new, j, root[i])
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
-def _each_turn(code: Column, turn: Column) -> Column:
-    return F.flatten(F.transform(code, lambda c: F.transform(turn, lambda x: c + x)))
-
-
-def links(prints: DataFrame, radius: int = 2, leaf: int = 1000, sample: int = SAMPLE) -> DataFrame:
-    """prints (fingerprint), distinct -> (u, v): pairs that join all fingerprints at distance <= radius.
-
-    A spanning forest of each leaf's links, not every pair. `sample` bounds the rows that choose the
-    tree; all are partitioned and compared.
-    """
-    spark = prints.sparkSession
-    n = prints.count()
-    depth = max(0, math.ceil(math.log2(max(1, n) / leaf)))
-    code, rows = F.array(F.lit(0).cast("long")), prints
-    if depth:
-        some = prints.orderBy(F.xxhash64("fingerprint")).limit(sample).collect()
-        for level, (v, m) in enumerate(vantage_levels(np.array([r[0] for r in some], np.int64).view(np.uint64), depth, radius)):
-            d = F.bit_count(F.col("fingerprint").bitwiseXOR(F.lit(v)))
-            out, none = F.lit(1 << level).cast("long"), F.lit(0).cast("long")
-            rows = rows.withColumn(f"turn{level}", F.when(d > m, F.array(out)).when(d > m - radius, F.array(none, out)).otherwise(F.array(none)))
-        for level in range(depth):
-            code = _each_turn(code, F.col(f"turn{level}"))
-    entries = written(rows.select("fingerprint", F.explode(code).alias("leaf")), "entries")
-    size = entries.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf", F.ceil(F.col("n") / leaf).cast("int").alias("blocks"))
-    entries = entries.join(F.broadcast(size) if (1 << depth) <= SMALL else size, "leaf")
-    b = F.pmod(F.xxhash64("fingerprint", F.lit(3)), F.col("blocks")).cast("int")
-    dealt = entries.withColumn("b", b).select("leaf", "fingerprint", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    dealt = dealt.select("leaf", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "fingerprint")
-
-    def compare(key, table):
-        fp = table.column("fingerprint").to_numpy().view(np.uint64)
-        mine = table.column("b").to_numpy() == key[1].as_py()
-        x, y = np.sort(fp[mine]), None if key[1] == key[2] else np.sort(fp[~mine])
-        if not len(x) or y is not None and not len(y):
-            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-        i, j = _near(x, y, radius)
-        both = x if y is None else np.concatenate([x, y])
-        root = _forest(len(both), i, j if y is None else j + len(x))
-        linked = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"u": both[linked].view(np.int64), "v": both[root[linked]].view(np.int64)})
-
-    return dealt.groupBy("leaf", "i", "j").applyInArrow(compare, "u long, v long")
-
-
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint string, component_id): documents linked by fingerprints at distance <= radius.
 
@@ -310,7 +206,7 @@ def sketch_links(sketches: DataFrame, similarity: float) -> DataFrame:
         alone = key[1].as_py() == key[2].as_py()
         left, right = np.flatnonzero(mine), np.flatnonzero(mine if alone else ~mine)
         i, j = _agree(x[left], x[right], least) if len(left) and len(right) else (left[:0], right[:0])
-        root = _forest(len(ids), left[i], right[j])
+        root = forest(len(ids), left[i], right[j])
         linked = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"u": ids[linked], "v": ids[root[linked]]})
 

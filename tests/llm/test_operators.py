@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lekha.llm import inner_products, main_text, maxent, sentence_pieces, simhash, substrings, token_counts, token_store, toxicity, winnowing
+from lekha.llm import inner_products, main_text, maxent, sentence_pieces, simhash, substrings, token_counts, token_store, toxicity, vantage, winnowing
 from lekha.llm.components import components
 from lekha.llm.page_tree import Tree, decode
 from lekha.llm.shared import shared_folder
@@ -164,18 +164,60 @@ def test_near_duplicates(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def within(values, radius=2):
+    """Each fingerprint's least reachable one, by comparing all pairs."""
+    x = np.array(values, np.int64)
+    i, j = np.nonzero(np.bitwise_count(x[:, None] ^ x[None]) <= radius)
+    root = vantage.forest(len(x), i, j)
+    groups = Counter(root.tolist())
+    return {v: values[r] for v, r in zip(values, root.tolist()) if groups[r] > 1}
+
+
+def partitioned(spark, values, **how):
+    return {r.node: r.root for r in components(vantage.links(spark.createDataFrame([(int(v),) for v in values], "fingerprint long"), **how)).collect()}
+
+
 @pytest.mark.parametrize("leaf", [20, 60, 10_000])
 def test_links_of_random_fingerprints(spark, leaf):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 120, dtype=np.int64)
     near = np.concatenate([base, *(base[:40] ^ (1 << rng.integers(0, 62, 40)) ^ (1 << rng.integers(0, 62, 40)) for _ in range(3))])
     values = np.unique(near).tolist()
-    found = components(simhash.links(spark.createDataFrame([(int(v),) for v in values], "fingerprint long"), leaf=leaf))
-    got = {r.node: r.root for r in found.collect()}
-    i, j = np.nonzero(np.bitwise_count(np.array(values)[:, None] ^ np.array(values)[None]) <= 2)
-    root = simhash._forest(len(values), i, j)
-    groups = Counter(root.tolist())
-    assert got == {v: values[r] for v, r in zip(values, root.tolist()) if groups[r] > 1}
+    assert partitioned(spark, values, leaf=leaf, sample=200) == within(values)
+
+
+def test_links_in_a_dense_region(spark):
+    """All fingerprints within a few bits of one, where balls part nothing: chunks do."""
+    rng = np.random.default_rng(4)
+    centre = int(rng.integers(0, 2**62))
+    values = np.unique([centre ^ sum(1 << int(b) for b in rng.choice(62, rng.integers(0, 7), replace=False)) for _ in range(3000)]).tolist()
+    assert partitioned(spark, values, leaf=100, sample=500) == within(values)
+    entries = vantage.leaves(spark.createDataFrame([(int(v),) for v in values], "fingerprint long"), leaf=100, sample=500)
+    assert entries.groupBy("node", "free").count().agg(F.max("count")).first()[0] <= 100 and entries.select("fingerprint").distinct().count() == len(values)
+
+
+def test_leaves_stay_linear(spark):
+    """50,000 dense fingerprints: rows of the leaves in proportion, and the links those of a plain comparison."""
+    rng = np.random.default_rng(5)
+    centres = rng.integers(0, 2**63, 300, dtype=np.int64)
+    x = np.unique(np.concatenate([centres[rng.integers(0, 300, 12_500)] ^ np.bitwise_or.reduce(np.int64(1) << rng.integers(0, 40, (6, 12_500)), axis=0) for _ in range(4)]))
+    rows = vantage.leaves(spark.createDataFrame([(int(v),) for v in x], "fingerprint long"), leaf=2000).count()
+    assert len(x) > 49_000 and rows < 8 * len(x)
+    got = partitioned(spark, x.tolist(), leaf=2000)
+    root = vantage.joined_within(x.view(np.uint64), 2)
+    same = Counter(root.tolist())
+    groups = {}
+    for v, r in zip(x.tolist(), root.tolist()):
+        if same[r] > 1:
+            groups.setdefault(r, []).append(v)
+    assert got == {v: min(g) for g in groups.values() for v in g}
+
+
+def test_plain_comparison_prunes_rightly():
+    rng = np.random.default_rng(6)
+    x = np.unique(rng.integers(0, 2**20, 700)).astype(np.uint64)
+    i, j = np.nonzero(np.bitwise_count(x[:, None] ^ x[None]) <= 2)
+    assert (vantage.joined_within(x, 2) == vantage.forest(len(x), i, j)).all()
 
 
 def test_components(spark):
