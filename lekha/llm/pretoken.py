@@ -11,7 +11,7 @@ import unicodedata
 
 import numpy as np
 
-from lekha.llm.text import Table, ragged, span_hash
+from lekha.llm.text import Table, ragged, same_bytes, word_hash
 
 OTHER, LETTER, NUMBER, SPACE, EDGE = range(5)
 #: Unicode's White_Space (fixed values).
@@ -32,7 +32,7 @@ def _kind(points: np.ndarray) -> np.ndarray:
 
 
 def pieces(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(string, start, end, row, hash): every piece of every text is string[start:end]; they cover the texts in order."""
+    """(string, its code points, start, end, row): every piece of every text is string[start:end]; they cover the texts in order."""
     string = _EDGE + "".join(x + _EDGE for x in texts)
     points = np.frombuffer(string.encode("utf-32-le", "surrogatepass"), np.uint32)
     kind = _kind(points)
@@ -59,26 +59,57 @@ def pieces(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, n
     edge = kind[begin] == EDGE
     row = np.cumsum(edge)[~edge] - 1
     begin, end = begin[~edge], end[~edge]
-    return string, begin, end, row, span_hash(points, begin, end)
+    return string, points, begin, end, row
 
 
 class PieceCache:
-    """What a worker has already worked out about pieces, by their hash; it starts anew when it is full."""
+    """What a worker has already worked out about pieces, by their hash and their characters; it starts anew when it is full."""
 
     def __init__(self, most: int = 1_000_000):
-        self.most, self.table = most, Table()
+        self.most = most
+        self._empty()
 
-    def missing(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of each hash's value or -1 where it is new, index of the first piece of each new hash)."""
-        if self.table.n > self.most:
-            self.table = Table()
+    def _empty(self) -> None:
+        self.table, self.place, self.size = Table(), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.chars, self.filled = np.zeros(1 << 18, np.uint32), 0
+
+    def numbers(self, points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Each piece's number; pieces that are new are worked out by `learn`. Never two different pieces with one number."""
+        if self.table.n > self.most or self.filled > 16 * self.most:
+            self._empty()
             self.clear()
-        found = self.table.find(hashes)
-        new = np.flatnonzero(found < 0)
-        if len(new):
-            keys, first = np.unique(hashes[new], return_index=True)
-            return found, new[np.sort(first)]
-        return found, new
+        data = points.view(np.uint8)
+        found, seed, todo = np.full(len(begin), -1, np.int64), 0, np.arange(len(begin))
+        while len(todo):
+            hashes = word_hash(data, 4 * begin[todo], 4 * end[todo], seed)
+            at = self.table.find(hashes)
+            new = np.flatnonzero(at < 0)
+            if len(new):
+                new = new[np.sort(np.unique(hashes[new], return_index=True)[1])]
+                self._add(points, begin[todo[new]], end[todo[new]], hashes[new])
+                at = self.table.find(hashes)
+            length = (end - begin)[todo]
+            same = self.size[at] == length
+            same[same] = same_bytes(points, begin[todo[same]], self.place[at[same]], length[same], self.chars)
+            found[todo[same]] = at[same]
+            todo, seed = todo[~same], seed + 1  # others of a hash: by another hash
+        return found
+
+    def _add(self, points: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> None:
+        length, n = end - begin, self.table.n
+        while n + len(begin) > len(self.place):
+            self.place, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.place, self.size))
+        while self.filled + length.sum() > len(self.chars):
+            self.chars = np.concatenate([self.chars, np.zeros_like(self.chars)])
+        self.place[n : n + len(begin)], self.size[n : n + len(begin)] = self.filled + np.cumsum(length) - length, length
+        self.chars[self.filled : self.filled + int(length.sum())] = points[ragged(begin, length)]
+        self.filled += int(length.sum())
+        self.learn(begin, end)
+        self.table.add(hashes)
+
+    def learn(self, begin: np.ndarray, end: np.ndarray) -> None:
+        """Work out these pieces, which get the next numbers."""
+        raise NotImplementedError
 
     def clear(self) -> None:
         raise NotImplementedError
@@ -95,10 +126,9 @@ class IdCache(PieceCache):
         self.start, self.count = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
 
-    def learn(self, ids: list[list[int]], hashes: np.ndarray) -> None:
-        count = np.array([len(x) for x in ids])
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum()))
-        a, b = self.table.n, self.table.n + len(ids)
+    def keep(self, count: np.ndarray, flat: np.ndarray) -> None:
+        """The ids of the next numbers: how many each has, and all."""
+        a, b = self.table.n, self.table.n + len(count)
         while b > len(self.start):
             self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
         while self.used + len(flat) > len(self.flat):
@@ -106,7 +136,6 @@ class IdCache(PieceCache):
         self.start[a:b], self.count[a:b] = self.used + np.cumsum(count) - count, count
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        self.table.add(hashes)
 
     def ids(self, found: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of each row, all ids) for pieces by their numbers."""

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lekha.llm.components import components
 from lekha.llm.shared import bounded_batches, written
-from lekha.llm.text import LOWER, U64, Texts, gram_hash, joined, mix, ragged, slices, span_hash, texts, words, worker_cache
+from lekha.llm.text import LOWER, U64, Texts, gram_hash, joined, mix, ragged, slices, span_hash, texts, word_hash, words, worker_cache
 from lekha.llm.vantage import forest, links
 
 #: Tables of at most so many rows of 24 bytes are sent to all executors.
@@ -110,7 +110,7 @@ class Shingles(NamedTuple):
 def _shingles(t: Texts, shingle: int) -> Shingles:
     low = LOWER[t.data]
     w = words(Texts(low, t.begin))
-    h, n = span_hash(low, w.start, w.end), np.diff(w.first)
+    h, n = word_hash(low, w.start, w.end), np.diff(w.first)
     full = np.flatnonzero(n)
     if not len(full):
         return Shingles(np.zeros(0, U64), full, full, len(t))

@@ -3,7 +3,8 @@
 Every window of `window` consecutive words belongs to the bucket of its minimiser, the least hash of
 the `gram`-word runs inside it. Consecutive windows of a document with one minimiser travel as one
 string (a super-k-mer) to that bucket, so a word is sent about three times and not `window` times,
-and equal windows always meet. There all windows are sorted and each but the first is a repeat.
+and equal windows always meet. There all windows are sorted and each but the first is a repeat. Hashes
+only bring words and windows together; equal they are when their bytes are.
 
 Equal super-k-mers of one slice of documents are settled where they are read: only the first is sent,
 so a passage that many documents share comes to its bucket once for each slice, not for each document.
@@ -27,13 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lekha.llm.shared import bounded_batches
-from lekha.llm.text import U64, Texts, Words, gram_hash, joined, mix, ragged, slices, span_hash, texts, words, worker_cache
+from lekha.llm.text import U64, Texts, Words, gram_hash, joined, mix, ragged, same_bytes, slices, span_hash, texts, word_numbers, words, worker_cache
 
 #: About so many sent words to a bucket.
 BUCKET_WORDS = 1_000_000
 #: No minimiser brings more words to its bucket.
 HOT_WORDS = 250_000
-_OTHER = U64(0xA0761D6478BD642F)
 
 
 def _super_kmers(w: Words, hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,7 +78,7 @@ class Pieces(NamedTuple):
 
 def _pieces(doc_id: np.ndarray, t: Texts, w: Words, window: int, gram: int, hot: np.ndarray) -> Pieces | None:
     """hot: minimisers, sorted."""
-    hashes = span_hash(t.data, w.start, w.end)
+    number, hashes = word_numbers(t.data, w.start, w.end)
     first, last, least = _super_kmers(w, hashes, window, gram)
     if not len(first):
         return None
@@ -90,15 +90,18 @@ def _pieces(doc_id: np.ndarray, t: Texts, w: Words, window: int, gram: int, hot:
         last = np.where(single, first, last)
     doc = doc_id[w.row[first]]
     place = first - w.first[w.row[first]]
-    one, two = (span_hash(h, first, last + window, U64(0xC2B2AE3D27D4EB4F | 1)) for h in (hashes, hashes ^ _OTHER))
-    order = np.lexsort((place, doc, two, one))
+    one = span_hash(hashes, first, last + window, U64(0xC2B2AE3D27D4EB4F | 1))
+    order = np.lexsort((place, doc, one))
     head = np.ones(len(order), bool)
-    head[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
-    leader = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
-    sent = np.zeros(len(order), bool)
-    sent[order[head]] = True
-    again = np.zeros(len(order), bool)
-    again[order] = (doc[order] != doc[leader]) | (place[order] != place[leader])
+    head[1:] = one[order][1:] != one[order][:-1]
+    leader = np.empty(len(order), np.int64)
+    leader[order] = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    sent = leader == np.arange(len(order))
+    rest, many = np.flatnonzero(~sent), last - first + window
+    alike = many[rest] == many[leader[rest]]
+    alike[alike] = same_bytes(number, first[rest[alike]], first[leader[rest[alike]]], many[rest[alike]])
+    sent[rest[~alike]] = True  # other words under the same hash
+    again = ~sent & ((doc != doc[leader]) | (place != place[leader]))
     return Pieces(first, last, least, np.where(single, one, least), doc, place, sent, again)
 
 
@@ -175,7 +178,7 @@ def _repeats(blobs: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, n
     doc, place, count, data = map(np.concatenate, (doc, place, count, data))
     known = np.concatenate(known, axis=1)
     w = words(Texts(data, np.array([0, len(data)])))
-    hashes = span_hash(data, w.start, w.end)
+    number, hashes = word_numbers(data, w.start, w.end)
     begin = np.cumsum(count) - count
     windows = count - window + 1
     at = ragged(begin, windows)  # each window's first word
@@ -191,21 +194,22 @@ def _repeats(blobs: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, n
     x, y = order[differ], leader[differ]
     same = np.ones(len(x), bool)
     for k in range(window):
-        same &= hashes[at[x] + k] == hashes[at[y] + k]
+        same &= number[at[x] + k] == number[at[y] + k]
     if not same.all():  # windows of one hash with other words: settle those by the words themselves
-        x = np.concatenate([x[same], _by_words(data, w, at, doc_of, start, order, np.unique(one[x[~same]]), one, window)])
+        clash = np.unique(one[x[~same]])
+        x = np.concatenate([x[~np.isin(one[x], clash)], _by_words(number, at, doc_of, start, order, clash, one, window)])
     x = x[np.lexsort((start[x], doc_of[x]))]
     edge = _runs(doc_of[x], start[x], start[x]) if len(x) else np.zeros(0, np.int64)
     end = np.append(edge[1:], len(x)) - 1 if len(x) else edge
     return (np.concatenate([doc_of[x[edge]], known[0]]), np.concatenate([start[x[edge]], known[1]]), np.concatenate([start[x[end]], known[2]]))
 
 
-def _by_words(data, w, at, doc_of, start, order, clash, one, window) -> np.ndarray:
+def _by_words(number, at, doc_of, start, order, clash, one, window) -> np.ndarray:
     out = []
     for h in clash:
         first: dict = {}
         for i in order[one[order] == h]:
-            key = data[w.start[at[i]] : w.end[at[i] + window - 1]].tobytes()
+            key = number[at[i] : at[i] + window].tobytes()
             if first.setdefault(key, (doc_of[i], start[i])) != (doc_of[i], start[i]):
                 out.append(i)
     return np.array(out, np.int64)

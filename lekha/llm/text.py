@@ -15,6 +15,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 1 << 20
 _STRETCH = 1 << 18
@@ -60,7 +61,10 @@ _POWERS = {int(b): _Powers(b) for b in (_BASE, _GRAM)}
 
 
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = _BASE) -> np.ndarray:
-    """A 64-bit hash of values[s:e] for each pair, equal for equal contents wherever they lie; starts ascend."""
+    """A 64-bit hash of values[s:e] for each pair, equal for equal contents wherever they lie; starts ascend.
+
+    A polynomial: for candidates only, as long runs of a pattern can share it.
+    """
     if len(values) > _STRETCH and len(starts) > 1:  # in stretches, for bounded tables of powers
         edge = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(values), _STRETCH)), len(starts)))
         out = np.empty(len(starts), U64)
@@ -81,6 +85,66 @@ def _span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: n
     return mix((total[ends] - total[starts]) * down[starts] + length * U64(0xD6E8FEB86659FD93))
 
 
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes data[s:e] for each pair; eight bytes at a time are mixed into what came before."""
+    size = end - start
+    out = mix(size.astype(U64) + U64(seed * 2 + 1))
+    if not len(out):
+        return out
+    long = np.flatnonzero(size > _LONG)
+    for i in long.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), seed)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))
+    todo, at = np.flatnonzero(size <= _LONG) if len(long) else np.arange(len(out)), 0
+    while len(todo):
+        left = size[todo] - at
+        lane = lanes[start[todo] + at]
+        short = left < 8
+        lane[short] &= _LOW[left[short]]
+        out[todo] = mix(out[todo] ^ lane) + U64(0x9E3779B97F4A7C15)
+        todo, at = todo[left > 8], at + 8
+    return out
+
+
+#: Longer words are hashed one by one.
+_LONG = 256
+#: The n lowest bytes of a lane.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(8)], U64)
+
+
+def same_bytes(data: np.ndarray, start: np.ndarray, other: np.ndarray, size: np.ndarray, whole: np.ndarray | None = None) -> np.ndarray:
+    """Whether data[start:start + size] is whole[other:other + size], for each triple; whole: data itself where not given."""
+    whole, out = data if whole is None else whole, np.ones(len(start), bool)
+    total = np.cumsum(size)
+    edge = np.unique(np.append(np.searchsorted(total, np.arange(0, int(total[-1]) if len(total) else 0, _STRETCH)), len(start)))
+    for a, b in zip(np.append(0, edge[:-1]), edge):  # in stretches, for bounded index arrays
+        if a == b:
+            continue
+        differ = data[ragged(start[a:b], size[a:b])] != whole[ragged(other[a:b], size[a:b])]
+        bad = np.flatnonzero(differ)
+        if len(bad):
+            out[a + np.unique(np.searchsorted(total[a:b] - (total[a - 1] if a else 0), bad, "right"))] = False
+    return out
+
+
+def word_numbers(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(each word's number, its hash): equal numbers for equal bytes, different ones for others."""
+    hashes = word_hash(data, start, end)
+    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    leader = first[number]
+    size = end - start
+    odd = (size != size[leader]) | (leader != np.arange(len(start)))
+    odd = np.flatnonzero(odd)
+    alike = size[odd] == size[leader[odd]]
+    alike[alike] = same_bytes(data, start[odd[alike]], start[leader[odd[alike]]], size[odd[alike]])
+    own: dict[bytes, int] = {}
+    for i in odd[~alike].tolist():  # other words of a hash
+        number[i] = own.setdefault(data[start[i] : end[i]].tobytes(), len(first) + len(own))
+    return number, hashes
+
+
 def gram_hash(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n consecutive values (len(hashes) - n + 1 of them)."""
     if len(hashes) < n:

@@ -7,9 +7,11 @@ their border), so the next byte fixes the next state and how the count changes,
 transition. States and transitions are compiled when first met and kept by the worker.
 
 Pieces step through the transducer side by side, one byte of each at a time. Long pieces are cut
-into chunks; each chunk's map from the state it is entered in to the state it is left in and its
-count is taken for a guessed entry, and a prefix scan composes the maps, adding entries where a
-guess was wrong. Counts of pieces already met come from a table.
+into chunks, and each chunk's map (from the state it is entered in to the state it is left in, with
+its count) is taken for the entry that the bytes just before it lead to. Neighbouring maps are then
+composed pair by pair, spans doubling each time; where the left one is left in a state that the right
+one has no entry for, that entry is added, as far into the right one as it makes a difference. Counts
+of pieces already met come from a table.
 """
 
 from __future__ import annotations
@@ -137,25 +139,51 @@ class Transducer:
 
     def counts(self, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Tokens of each piece."""
-        parts = -(-length // CHUNK)
+        parts = np.maximum(1, -(-length // CHUNK))
         piece = np.repeat(np.arange(len(begin)), parts)
         nth = np.arange(len(piece)) - np.repeat(np.cumsum(parts) - parts, parts)
         at = begin[piece] + nth * CHUNK
         size = np.minimum(CHUNK, length[piece] - nth * CHUNK)
         entry = np.zeros(len(at), np.int64)
         later = np.flatnonzero(nth)
-        if len(later):  # guess by the bytes just before
+        if len(later):  # the entry that the bytes before lead to, most likely
             entry[later] = self.run(data, at[later] - _LOOK_BACK, np.full(len(later), _LOOK_BACK), entry[later])[0]
         left, count = self.run(data, at, size, entry)
-        while len(later):  # maps whose entry is not what the map before is left in get that entry
-            later = later[entry[later] != left[later - 1]]
-            if len(later):
-                entry[later] = left[later - 1]
-                left[later], count[later] = self.run(data, at[later], size[later], entry[later])
-                later = later + 1
-                later = later[(later < len(nth))]
-                later = later[nth[later] > 0]
-        return np.bincount(piece, count, len(begin)).astype(np.int64)
+        return self._composed(data, at, size, piece, entry, left, count, len(begin))
+
+    def _composed(self, data, at, size, piece, entry, left, count, pieces: int) -> np.ndarray:
+        """Each piece's count, by composing its chunks' maps entry -> (left, count); spans double."""
+        first = last = np.arange(len(piece))  # a span of chunks has the map entry[first] -> (left[last], total)
+        total = count.copy()
+        while len(first) > pieces:
+            of = piece[first]
+            nth = np.arange(len(first)) - np.searchsorted(of, of)
+            right = np.flatnonzero(nth % 2)
+            new = left[last[right - 1]]
+            wrong = right[entry[first[right]] != new]
+            if len(wrong):
+                total[wrong] += self._enter(data, at, size, entry, left, count, first[wrong], last[wrong], left[last[wrong - 1]])
+            total[right - 1] += total[right]
+            end = last.copy()
+            end[right - 1] = last[right]
+            keep = nth % 2 == 0
+            first, last, total = first[keep], end[keep], total[keep]
+        out = np.zeros(pieces, np.int64)
+        out[piece[first]] = total
+        return out
+
+    def _enter(self, data, at, size, entry, left, count, first, last, state) -> np.ndarray:
+        """Give spans of chunks another entry, and return by how much their counts change; the chunks' maps change until they agree with the old ones."""
+        change, todo, chunk = np.zeros(len(first), np.int64), np.arange(len(first)), first.copy()
+        while len(todo):
+            entry[chunk] = state
+            new, n = self.run(data, at[chunk], size[chunk], state)
+            change[todo] += n - count[chunk]
+            count[chunk] = n
+            go = (new != left[chunk]) & (chunk < last[todo])
+            left[chunk] = new
+            todo, chunk, state = todo[go], chunk[go] + 1, new[go]
+        return change
 
 
 class _Counter(PieceCache):
@@ -180,19 +208,19 @@ class _Counter(PieceCache):
                 own = self([p for x in parts for p in x])
                 edge = np.cumsum([0, *map(len, parts)])
                 return np.array([own[a:b].sum() + b - a - 1 for a, b in zip(edge[:-1], edge[1:])], np.int64)
-        string, begin, end, row, hashes = pieces(texts)
-        found, new = self.missing(hashes)
-        if len(new):
-            data = [string[a:b].encode() for a, b in zip(begin[new].tolist(), end[new].tolist())]
-            length = np.array([len(x) for x in data])
-            value = self.fst.counts(np.frombuffer(b"".join(data), np.uint8), np.cumsum(length) - length, length)
-            while self.table.n + len(new) > len(self.value):
-                self.value = np.concatenate([self.value, np.zeros_like(self.value)])
-            self.value[self.table.n : self.table.n + len(new)] = value
-            self.table.add(hashes[new])
-            found = self.table.find(hashes)
+        self.string, points, begin, end, row = pieces(texts)
+        found = self.numbers(points, begin, end)
         return np.bincount(row, self.value[found], len(texts)).astype(np.int64)
 
+    def learn(self, begin: np.ndarray, end: np.ndarray) -> None:
+        data = [self.string[a:b].encode() for a, b in zip(begin.tolist(), end.tolist())]
+        length = np.array([len(x) for x in data])
+        value = self.fst.counts(np.frombuffer(b"".join(data), np.uint8), np.cumsum(length) - length, length)
+        n = self.table.n
+        while n + len(value) > len(self.value):
+            self.value = np.concatenate([self.value, np.zeros_like(self.value)])
+        self.value[n : n + len(value)] = value
+
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every text, as the `tokenizers` library counts it.

@@ -15,6 +15,7 @@ the segments it needs. Segments and the documents in them ascend by document id.
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
 import zlib
@@ -132,13 +133,14 @@ class _Encoder(IdCache):
                 inner[edge[1:] - 1] = False  # a special token follows every part but a text's last
                 ids = np.insert(ids, np.cumsum(count)[inner], number)
                 return np.add.reduceat(count + inner, edge[:-1]), ids
-        string, begin, end, row, hashes = pieces(texts)
-        found, new = self.missing(hashes)
-        if len(new):
-            strings = [string[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist())]
-            self.learn([e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)], hashes[new])
-            found = self.table.find(hashes)
-        return self.ids(found, row, len(texts))
+        self.string, points, begin, end, row = pieces(texts)
+        return self.ids(self.numbers(points, begin, end), row, len(texts))
+
+    def learn(self, begin: np.ndarray, end: np.ndarray) -> None:
+        strings = [self.string[a:b] for a, b in zip(begin.tolist(), end.tolist())]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        count = np.array([len(x) for x in ids], np.int64)
+        self.keep(count, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(count.sum())))
 
 
 def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -146,7 +148,8 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int | None =
 
     `tokenizer` is the path of a file for the `tokenizers` library, byte-level BPE, readable on every
     executor; no special tokens are added, and its special strings inside texts are handled as the
-    library's default. A null text is empty. Rows with a null id are left out; repeated ids stay.
+    library's default. A null text is empty. Rows with a null id are left out; rows of one id stay, by
+    their texts, null first.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +166,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int | None =
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(of, "part long, local long, n_tokens long, segment binary").write.option("compression", "zstd").parquet(path)
 
 
