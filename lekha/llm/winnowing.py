@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from lekha.llm.shared import written
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Tables of at most so many short rows are sent to all executors in a join.
-SMALL = 500_000
+#: Tables of at most so many bytes are sent to all executors in a join.
+SMALL_BYTES = 32 << 20
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -61,8 +61,9 @@ def fingerprint_list(words: Column, window: int, gram: int, short: list[int]) ->
     return _let(_hashes(words), of)
 
 
-def _sent(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= SMALL else df
+def _sent(df: DataFrame, size: Column) -> DataFrame:
+    """Sent to all executors if its rows, of `size` bytes each, come to little."""
+    return F.broadcast(df) if (df.agg(F.sum(size + 32)).first()[0] or 0) <= SMALL_BYTES else df
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram: int = 5, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -70,22 +71,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram:
 
     A word is hit inside any occurrence of an item's window; contaminated: some word is hit, and
     `share` times the hit words are at least all words. Null, empty and wordless texts have no
-    words, null, empty or wordless items no windows. Rows with a null id are left out, and rows
-    repeated with the same id and text are one. An empty benchmark hits nothing.
+    words, null, empty or wordless items no windows. Rows with a null id are left out; all others give
+    one row each, repeated ones too. An empty benchmark hits nothing.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), word_list(F.col("text")).alias("words")).where("item is not null and size(words) > 0")
     items = written(items, "items")
     n = F.size("words")
     short = sorted(r[0] for r in items.where(n < window).select(n.alias("n")).distinct().collect())  # fewer than `window` numbers
     own = F.when(n >= window, fingerprint_list(F.col("words"), window, gram, [])).otherwise(F.array(F.expr("xxhash64(transform(words, w -> xxhash64(w)))")))
-    prints = _sent(written(items.select(F.explode(own).alias("print")).distinct(), "prints"))
+    prints = _sent(written(items.select(F.explode(own).alias("print")).distinct(), "prints"), F.lit(8))
     width = F.least(n, F.lit(window))
     windows = items.select("item", width.alias("width"), F.explode(F.transform(_upto(n - width + 1), lambda i: F.array_join(F.slice("words", i, width), " "))).alias("passage"))
-    windows = _sent(written(windows.groupBy("passage", "width").agg(F.collect_set("item").alias("its")), "windows"))
+    windows = written(windows.groupBy("passage", "width").agg(F.collect_set("item").alias("its")), "windows")
+    windows = _sent(windows, F.octet_length("passage") + F.aggregate("its", F.lit(0), lambda n, x: n + 16 + F.octet_length(x)))
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     hits = rows.select("doc_id", F.explode(fingerprint_list(word_list(F.col("text")), window, gram, short)).alias("print")).join(prints, "print", "left_semi")
-    hits = _sent(written(hits.groupBy("doc_id").agg(F.collect_set("print").alias("prints")), "hits"))
+    hits = _sent(written(hits.groupBy("doc_id").agg(F.collect_set("print").alias("prints")), "hits"), 8 * F.size("prints"))
 
     def near(words: Column) -> Column:
         """The windows that hold a shared k-gram, as (start, width, passage)."""
@@ -101,17 +103,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram:
 
     full = rows.join(hits, "doc_id", "left").select("doc_id", F.xxhash64("text").alias("version"), "prints", F.coalesce("text", F.lit("")).alias("text"))
     found = F.when(F.col("prints").isNotNull(), _let(word_list(F.col("text")), near))
-    full = full.select("doc_id", "version", F.size(word_list(F.col("text"))).cast("long").alias("n_words"), F.explode_outer(found).alias("w"))
-    full = full.select("doc_id", "version", "n_words", "w.start", "w.width", "w.passage").join(windows, ["passage", "width"], "left")
+    full = full.select("doc_id", "version", F.size(word_list(F.col("text"))).cast("long").alias("n_words"), found.alias("found"))
+    full = full.select("doc_id", "version", "n_words", F.greatest(F.lit(1), F.coalesce(F.size("found"), F.lit(1))).alias("each"), F.explode_outer("found").alias("w"))
+    full = full.select("doc_id", "version", "n_words", "each", "w.start", "w.width", "w.passage").join(windows, ["passage", "width"], "left")
     hit = F.when(F.col("its").isNotNull(), F.struct(F.col("start").alias("a"), (F.col("start") + F.col("width")).alias("b")))
-    full = full.groupBy("doc_id", "version", "n_words").agg(F.sort_array(F.collect_set(hit)).alias("ranges"), F.collect_set("its").alias("its"))
+    # rows that repeat an id and a text have one result, given as often as they stand
+    full = full.groupBy("doc_id", "version", "n_words", "each").agg(F.sort_array(F.collect_set(hit)).alias("ranges"), F.collect_set("its").alias("its"), F.count("*").alias("rows"))
     covered = F.aggregate(
         "ranges",
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda s, r: F.struct((s["n"] + F.greatest(F.lit(0), r["b"] - F.greatest(r["a"], s["end"]))).alias("n"), F.greatest(s["end"], r["b"]).alias("end")),
         lambda s: s["n"].cast("long"),
     )
-    full = full.select("doc_id", "n_words", covered.alias("n_hit"), F.sort_array(F.array_distinct(F.flatten("its"))).alias("items"))
+    full = full.select("doc_id", "n_words", covered.alias("n_hit"), F.sort_array(F.array_distinct(F.flatten("its"))).alias("items"), (F.col("rows") / F.col("each")).cast("int").alias("times"))
+    full = full.select("doc_id", "n_words", "n_hit", "items", F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("again"))
     return full.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
