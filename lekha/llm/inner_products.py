@@ -5,6 +5,8 @@ of the candidates gathers most of a product in its first terms; what the other t
 most the product of the two remainders' lengths (Cauchy-Schwarz). A candidate whose bound is below
 the k-th score found so far is left without its exact product, and so is the rest of a block once
 the full lengths' product is below. Each query starts with the k-th score among the longest candidates.
+From that, each block of queries has a least length that a candidate must have, and only the vectors of
+candidate blocks that reach it are brought together with it.
 """
 
 from __future__ import annotations
@@ -21,7 +23,12 @@ from lekha.llm.shared import written
 
 #: Longest candidates that give every query its first bound; more only tightens it.
 HEAD = 2048
-QUERY_BLOCK, CANDIDATE_BLOCK, _STEP = 2048, 16384, 1024
+#: Vectors of a block, and its bytes, at most.
+QUERY_BLOCK, CANDIDATE_BLOCK, BLOCK_BYTES, _STEP = 2048, 16384, 8 << 20, 1024
+#: Query blocks of at most so many bytes in all are sent to all executors.
+SMALL_BYTES = 32 << 20
+#: Lengths are put in steps of an eighth of a doubling, this many below the longest.
+_LEVELS = 200
 _LONG = 1 << 63
 
 
@@ -76,23 +83,19 @@ def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Vectors with their rotated parts and lengths."""
+    """Vectors with their rotated parts and lengths; rows tells rows apart that share an id."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, turn: np.ndarray, lead: int):
-        self.ids, self.x = ids, x
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, x: np.ndarray, turn: np.ndarray, lead: int):
+        self.ids, self.rows, self.x = ids, rows, x
         turned = x @ turn
         self.lead = turned[:, :lead].copy()
         self.norm = np.sqrt((x * x).sum(1))
         self.rest = np.sqrt((turned[:, lead:] ** 2).sum(1))
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
-
-
-def search(q: Block, c: Block, floor: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query its k best (ids, scores) of the block that reach `floor`, ties to smaller ids; candidates by descending norm."""
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in q.ids]
+def search(q: Block, c: Block, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score), the k best of the block for each query that reach `floor`, best first, ties to smaller ids; candidates by descending norm."""
+    query, ids, scores = (np.zeros(0, np.int64) for _ in range(3))
     floor = floor.astype(float)
     for at in range(0, len(c.ids), _STEP):
         part = slice(at, at + _STEP)
@@ -102,22 +105,37 @@ def search(q: Block, c: Block, floor: np.ndarray, k: int) -> list[tuple[np.ndarr
             break
         bound = q.lead[live] @ c.lead[part].T + q.rest[live, None] * c.rest[None, part] + slack[live, None]
         keep = bound >= floor[live, None]
-        rows = np.flatnonzero(keep.any(1))
         cols = np.flatnonzero(keep.any(0))
-        if not len(rows):
+        live, keep = live[keep.any(1)], keep[keep.any(1)][:, cols]
+        if not len(live):
             continue
-        exact = _dot(q.x[live[rows]], c.x[part][cols])
-        ids = c.ids[part][cols]
-        for r, i in enumerate(live[rows]):
-            take = np.flatnonzero(keep[rows[r], cols] & (exact[r] >= floor[i]) & (ids != q.ids[i]))
-            if not len(take):
-                continue
-            a, s = np.concatenate([found[i][0], ids[take]]), np.concatenate([found[i][1], exact[r][take]])
-            top = _best(s, a, k)
-            found[i] = a[top], s[top]
-            if len(top) == k:
-                floor[i] = max(floor[i], s[top[-1]])
-    return found
+        exact = _dot(q.x[live], c.x[part][cols])
+        keep &= (exact >= floor[live, None]) & (c.rows[part][cols] != q.rows[live, None])
+        if len(cols) > k:  # those below a row's own k-th go, ties stay
+            kth = -np.partition(np.where(keep, ~exact, _LONG - 1), k - 1, axis=1)[:, k - 1] - 1
+            keep &= exact >= kth[:, None]
+        i, j = np.nonzero(keep)
+        query, ids, scores = np.append(query, live[i]), np.append(ids, c.ids[part][cols][j]), np.append(scores, exact[i, j])
+        order = np.lexsort((ids, ~scores, query))
+        place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+        order, place = order[place < k], place[place < k]
+        query, ids, scores = query[order], ids[order], scores[order]
+        full = place == k - 1
+        floor[query[full]] = np.maximum(floor[query[full]], scores[full])
+    return query, ids, scores
+
+
+def meeting(q: DataFrame, c: DataFrame) -> DataFrame:
+    """q (q, reach), c (c, reach) -> (q, c): blocks of candidates whose longest reaches what a block of queries asks for.
+
+    Joined by steps of length, of which there is a fixed number, so no list is gathered and no pair is tried.
+    """
+    longest = c.agg(F.max("reach")).first()[0] or 0.0
+    top = math.floor(8 * math.log2(longest)) if longest > 0 else 0
+    level = F.when(F.col("reach") > 0, F.greatest(F.lit(top - _LEVELS), F.floor(8 * F.log2("reach")).cast("int"))).otherwise(F.lit(top - _LEVELS))
+    levels = F.when(level <= top, F.sequence(level, F.lit(top))).otherwise(F.array().cast("array<int>"))
+    asked = q.select("q", F.col("reach").alias("least"), F.explode(levels).alias("level"))
+    return asked.join(c.select("c", "reach", level.alias("level")), "level").where("reach >= least").select("q", "c")
 
 
 def top_inner_products(table: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -125,69 +143,72 @@ def top_inner_products(table: DataFrame, k: int = 5, every: int = 50, scale: flo
 
     Score: the integer inner product of floor(scale * x); ties go to the smaller vec_id; fewer than k
     candidates give fewer rows. Vectors that are null or hold null or non-finite components take no
-    part; shorter ones end in zeros; rows with a query's own id are not its candidates; scores beyond
-    64 bits are held at the limit. A repeated query row is answered once for each.
+    part; shorter ones end in zeros; scores beyond 64 bits are held at the limit. Rows that share an id
+    are rows like others: each of a query's is answered, and the others are candidates of it.
     """
     schema = "query_id long, rank int, vec_id long, score long"
     spark = table.sparkSession
-    vectors = written(integer_vectors(table, scale, id_col, vector_col), "vectors")
+    vectors = written(integer_vectors(table, scale, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()), "vectors")
     n, dim = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
     if not n or not dim or dim < 1:
         return spark.createDataFrame([], schema)
     turn, lead = rotation(vectors, dim), max(1, dim // 3)
-    head_rows = vectors.orderBy(F.desc("norm"), "vec_id").limit(HEAD).toArrow().combine_chunks()
-    head_ids, head_x = head_rows.column("vec_id").to_numpy(), _matrix(head_rows.column("v").combine_chunks(), dim) if len(head_rows) else None
+    fit = max(64, BLOCK_BYTES // (8 * dim))
+    head_rows = vectors.orderBy(F.desc("norm"), "vec_id").limit(min(HEAD, fit)).toArrow().combine_chunks()
+    seed_from = [head_rows.column(c).to_numpy() for c in ("vec_id", "row")] + [_matrix(head_rows.column("v").combine_chunks(), dim)]
 
     def pack(size: int, seed: bool):
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            head = Block(head_ids, head_x, turn, lead) if seed else None
-            ids, rows = [], []
+            head = Block(*seed_from, turn, lead) if seed else None
+            waiting: list[tuple[np.ndarray, ...]] = []
 
             def out() -> pa.RecordBatch:
-                i, x = np.concatenate(ids), np.concatenate(rows)
-                floor = np.full(len(i), -np.inf)
+                i, r, x = (np.concatenate(p) for p in zip(*waiting))
+                own = Block(i, r, x, turn, lead)
+                floor, reach = np.full(len(i), -np.inf), own.norm.max()
                 if seed:
-                    for r, (_, s) in enumerate(search(Block(i, x, turn, lead), head, floor, k)):
-                        floor[r] = s[-1] if len(s) == k else -np.inf
-                ids.clear(), rows.clear()
-                return pa.RecordBatch.from_arrays([pa.array([y.tobytes()], pa.binary()) for y in (i, x, floor)], ["ids", "x", "floor"])
+                    query, _, s = search(own, head, floor, k)
+                    last = np.flatnonzero(np.bincount(query, minlength=len(i)) == k)
+                    floor[last] = s[np.searchsorted(query, last, "right") - 1]
+                    # no candidate below this length can reach any floor
+                    reach = np.where(floor > 0, floor / np.maximum(own.norm * (1 + 1e-9), 1e-300), 0.0).min()
+                waiting.clear()
+                return pa.RecordBatch.from_arrays([*(pa.array([y.tobytes()], pa.binary()) for y in (i, r, x, floor)), pa.array([float(reach)])], ["ids", "rows", "x", "floor", "reach"])
 
             for whole in batches:
                 for at in range(0, whole.num_rows, size):
                     b = whole.slice(at, size)
-                    ids.append(b.column("vec_id").to_numpy())
-                    rows.append(_matrix(b.column("v"), dim))
-                    if sum(map(len, ids)) >= size:
+                    waiting.append((b.column("vec_id").to_numpy(), b.column("row").to_numpy(), _matrix(b.column("v"), dim)))
+                    if sum(len(w[0]) for w in waiting) >= size:
                         yield out()
-            if ids:
+            if waiting:
                 yield out()
 
         return of
 
-    blocks = max(1, math.ceil(n / CANDIDATE_BLOCK), min(n // 1024, 4 * spark.sparkContext.defaultParallelism))
+    packed = "ids binary, rows binary, x binary, floor binary, reach double"
+    wide = min(CANDIDATE_BLOCK, fit)
+    blocks = max(1, math.ceil(n / wide), min(n // 1024, 4 * spark.sparkContext.defaultParallelism))
     order = vectors.repartitionByRange(blocks, F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
-    packed = "ids binary, x binary, floor binary"
-    c = written(order.select("vec_id", "v").mapInArrow(pack(CANDIDATE_BLOCK, False), packed).withColumn("c", F.monotonically_increasing_id()), "candidates")
-    asked = vectors.where(F.col("vec_id") % every == 0).select("vec_id", "v")
-    wide = max(1, math.ceil(n / every / QUERY_BLOCK))
-    q = asked.repartition(wide).mapInArrow(pack(QUERY_BLOCK, True), packed).withColumn("q", F.monotonically_increasing_id())
-    q = written(q.select("q", F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), "floor"), "queries")
-    # each block of queries meets each block of candidates
-    lists = [r.q for r in q.select("q").collect()]  # one for every QUERY_BLOCK queries
-    grid = c.select("c", "ids", "x", F.explode(F.array(*[F.lit(x).cast("long") for x in lists]) if lists else F.array().cast("array<long>")).alias("q"))
+    c = order.select("vec_id", "row", "v").mapInArrow(pack(wide, False), packed).withColumn("c", F.monotonically_increasing_id())
+    c = written(c.drop("floor"), "candidates")
+    asked, many = vectors.where(F.col("vec_id") % every == 0).select("vec_id", "row", "v"), min(QUERY_BLOCK, fit)
+    q = asked.repartition(max(1, math.ceil(n / every / many))).mapInArrow(pack(many, True), packed).withColumn("q", F.monotonically_increasing_id())
+    q = written(q.select("q", "reach", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("x").alias("q_x"), "floor"), "queries")
+
+    # lengths alone say which blocks meet: a row of numbers for each pair, and vectors for those only
+    reached, asked_rows = meeting(q, c), q.agg(F.sum(F.length("q_ids"))).first()[0] or 0
+    q_rows = q.drop("reach")
+    grid = reached.join(F.broadcast(q_rows) if asked_rows * (dim + 3) <= SMALL_BYTES else q_rows, "q").join(c.drop("reach"), "c")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                a, x, qa, qx, floor = (np.frombuffer(b.column(n)[i].as_buffer(), t) for n, t in (("ids", np.int64), ("x", float), ("q_ids", np.int64), ("q_x", float), ("floor", float)))
-                query = Block(qa, qx.reshape(-1, dim), turn, lead)
-                found = search(query, Block(a, x.reshape(-1, dim), turn, lead), floor, k)
-                many = [len(s) for _, s in found]
-                number = np.repeat(np.arange(len(qa)), many)
-                ids, scores = (np.concatenate([f[j] for f in found]) for j in (0, 1))
+                a, r, x, qa, qr, qx, floor = (np.frombuffer(b.column(name)[i].as_buffer(), kind) for name, kind in (("ids", np.int64), ("rows", np.int64), ("x", float), ("q_ids", np.int64), ("q_rows", np.int64), ("q_x", float), ("floor", float)))
+                number, ids, scores = search(Block(qa, qr, qx.reshape(-1, dim), turn, lead), Block(a, r, x.reshape(-1, dim), turn, lead), floor, k)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(number), b.column("q")[i].as_py())), pa.array(number), pa.array(qa[number]), pa.array(ids), pa.array(scores)], ["q", "n", "query_id", "vec_id", "score"])
 
-    met = grid.join(q, "q").select("q", "ids", "x", "q_ids", "q_x", "floor").mapInArrow(meet, "q long, n long, query_id long, vec_id long, score long")
+    met = grid.select("q", "ids", "rows", "x", "q_ids", "q_rows", "q_x", "floor").mapInArrow(meet, "q long, n long, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("q", "n").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
