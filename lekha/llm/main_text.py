@@ -28,8 +28,10 @@ from lekha.llm.page_tree import FEATURES, Tree, decode
 from lekha.llm.shared import bounded_batches
 from lekha.llm.text import slices, worker_cache
 
-#: Pages that the trees learn from, at most; chosen by a hash of their id.
+#: Pages that the trees learn from, at most; chosen by a hash of their markup.
 SAMPLE = 160
+#: Longer pages (in characters) do not teach.
+LONGEST = 200_000
 _CONTENT = frozenset("article main".split())
 _REST = frozenset("nav header footer aside form dialog search menu".split())
 #: What pages call the main text and the parts around it.
@@ -141,7 +143,7 @@ def learn(pages: list[str], copies: int = 3, seed: int = 5) -> Boosted | None:
     for page in pages:
         tree = Tree(page)
         y = weak_labels(tree)
-        blocks = tree.text(y if y is not None else np.ones(len(tree.tag))).split("\n\n")[:40]
+        blocks = tree.text(y if y is not None else np.ones(len(tree.tag))).split("\n\n")
         if y is not None:
             xs.append(tree.features())
             ys.append(y)
@@ -163,17 +165,21 @@ def extract(model: Boosted | None, pages: list[str]) -> list[str]:
     return [t.text(decode(t.parent, odds[a:b])) for t, a, b in zip(trees, edge[:-1], edge[1:])]
 
 
-def train(pages: DataFrame, sample: int = SAMPLE, id_col: str = "page_id", html_col: str = "html") -> Boosted | None:
-    """Trees from at most `sample` pages; None where no page has any markup."""
-    some = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where("html is not null and html != ''")
-    rows = some.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(sample).repartition(1)
+def train(pages: DataFrame, sample: int = SAMPLE, longest: int = LONGEST, html_col: str = "html") -> Boosted | None:
+    """Trees from at most `sample` different pages of at most `longest` characters each; None where no page has any.
+
+    Ids play no part, so null and repeated ones teach as well; a page that stands in many rows counts once.
+    """
+    some = pages.select(F.col(html_col).alias("html")).where((F.length("html") > 0) & (F.length("html") <= longest)).withColumn("key", F.xxhash64("html", F.lit(5)))
+    keys = some.select("key").distinct().orderBy("key").limit(sample)
+    rows = some.join(F.broadcast(keys), "key").dropDuplicates(["key"]).repartition(1)  # `sample` short rows
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = sorted((i, h) for b in batches for i, h in zip(b.column("id").to_pylist(), b.column("html").to_pylist()))
+        got = sorted((i, h) for b in batches for i, h in zip(b.column("key").to_pylist(), b.column("html").to_pylist()))
         if got:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn([h for _, h in got]))], pa.binary())], ["model"])
 
-    got = rows.where("id is not null").mapInArrow(of, "model binary").collect()
+    got = rows.select("key", "html").mapInArrow(of, "model binary").collect()
     return pickle.loads(got[0].model) if got else None
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -13,14 +15,24 @@ BLOCKS = frozenset(
     "nav header footer aside form fieldset address details summary center hr hgroup search dialog menu".split()
 )
 #: Elements whose content is never text of the page's body.
-_RAW = "script|style|noscript|template|iframe|svg|math|textarea|title|select|button|object|canvas|audio|video|head(?=[\\s>])"
+_RAW = frozenset("script style noscript template iframe svg textarea title select button object canvas audio video".split())
+#: Of these the ones that hold code: without an end tag they take all that follows. Of others only the tag goes.
+_CODE = frozenset("script style".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: A start tag of the key ends open elements of the value, up to the next of its bounds.
-_ENDS = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"})}
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*|[^>]*)>|<[!?][^>]*>",
-    re.S | re.I,
+#: Other elements; what stands in angle brackets under another name without a hyphen or a colon is text.
+_INLINE = frozenset(
+    "html head body a abbr acronym applet b basefont bdi bdo big blink cite code command data datalist del dfn dir em font frame frameset i ins kbd keygen label legend map mark "
+    "marquee math meter nobr noembed noframes optgroup option output picture progress q rb rp rt rtc ruby s samp slot small span strike strong sub sup time tt u var xmp "
+    "mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mtable mtr mtd menclose semantics annotation".split()
 )
+#: A start tag of the key ends open elements of the value, up to the next of its bounds.
+_ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table")}
+_ENDS = {k: (a.split(), b.split()) for k, (a, b) in _ENDS.items()}
+_NAME = re.compile(r"/?([a-zA-Z][^\s/><]*)")
+_STOP = re.compile(r"[<>]|=\s*+[\"']")
+_RAW_TAG = re.compile(rf"<(/?)({'|'.join(sorted(_RAW))})(?=[\s/>])", re.I)
+#: Quoted values that a tag may have.
+_VALUES = 64
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -30,6 +42,62 @@ NUMERIC = 20
 FEATURES = NUMERIC + TAGS + 2 * TOKEN_BUCKETS
 
 
+def _tag_end(page: str, at: int) -> int:
+    """Where the tag ends whose name ends at `at`: its `>`, outside quoted values; -1 where a `<` or the page's end comes first."""
+    for _ in range(_VALUES):
+        m = _STOP.search(page, at)
+        if m is None or m[0] == "<":
+            return -1
+        if m[0] == ">":
+            return m.start()
+        at = page.find(m[0][-1], m.end()) + 1
+        if not at:  # a value that is never closed ends with the tag
+            return page.find(">", m.end())
+    return -1
+
+
+def _tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text, "", False, "") and ("", name, whether an end tag, attributes) in page order, in one pass; raw elements and comments left out."""
+    marks: dict[tuple[str, bool], list[int]] = {}
+    for m in _RAW_TAG.finditer(page):
+        marks.setdefault((m[2].lower(), bool(m[1])), []).append(m.start())
+    at, seek, far = 0, 0, page.rfind("-->")
+    last = page.rfind(">")
+    while True:
+        i = page.find("<", seek)
+        if i < 0 or i > last:
+            break
+        name, closing, attributes = "", False, ""
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4) + 3 if i + 4 <= far else page.find(">", i) + 1
+        elif page[i + 1 : i + 2] in ("!", "?"):
+            end = page.find(">", i) + 1
+        else:
+            m = _NAME.match(page, i + 1)
+            name = m[1].lower() if m else ""
+            end = _tag_end(page, m.end()) + 1 if name in BLOCKS or name in _RAW or name in _VOID or name in _INLINE or "-" in name or ":" in name else 0
+            if not end:  # no tag: text
+                seek = i + 1
+                continue
+            closing, attributes = page[i + 1] == "/", page[m.end() : end - 1]
+        if i > at:
+            yield page[at:i], "", False, ""
+        at = seek = end
+        if name in _RAW:
+            if not closing and not attributes.endswith("/"):
+                ends, begins = marks.get((name, True), []), marks.get((name, False), [])
+                k = bisect.bisect_left(ends, end)
+                again = bisect.bisect_left(begins, end)
+                if k < len(ends) and not (name in ("button", "select") and again < len(begins) and begins[again] < ends[k]):
+                    at = seek = page.find(">", ends[k]) + 1 or len(page)
+                elif name in _CODE:
+                    at = seek = len(page)
+        elif name:
+            yield "", name, closing, attributes
+    if at < len(page):
+        yield page[at:], "", False, ""
+
+
 class Tree:
     """Nodes are block elements in page order; texts are (node, block, string, in a link)."""
 
@@ -38,43 +106,47 @@ class Tree:
     def __init__(self, page: str):
         self.tag, self.parent, self.attributes = ["html"], [-1], [""]
         self.texts: list[tuple[int, int, str, bool]] = []
-        open_, block, at, links = [0], 0, 0, 0
-        for m in _TOKEN.finditer(page):
-            if m.start() > at:
-                self.texts.append((open_[-1], block, page[at : m.start()], links > 0))
-            at = m.end()
-            name = m[3]
-            if name is None:
+        open_, places, block, links, head = [0], {}, 0, 0, False
+
+        def cut(k: int) -> None:
+            for node in open_[k:]:
+                places[self.tag[node]].pop()
+            del open_[k:]
+
+        for text, name, closing, attributes in _tokens(page):
+            if text:
+                if not head:
+                    self.texts.append((open_[-1], block, text, links > 0))
                 continue
-            name = name.lower()
-            if name == "br":
+            if name == "head":
+                head = not closing
+            elif name == "br":
                 self.texts.append((open_[-1], block, " ", False))
             elif name == "a":
-                links = 0 if m[2] else 1
-            elif name in BLOCKS and name not in ("html", "body"):
+                links = 0 if closing else 1
+            elif name == "body":
+                head = False
+            elif name in BLOCKS and name != "html":
+                head = head and closing
                 block += 1
-                if m[2]:
-                    k = next((k for k in range(len(open_) - 1, 0, -1) if self.tag[open_[k]] == name), 0)
-                    if k:
-                        del open_[k:]
+                if closing:
+                    if places.get(name):
+                        cut(places[name][-1])
                     continue
                 if name in _ENDS:
                     ends, bounds = _ENDS[name]
-                    k = next((k for k in range(len(open_) - 1, -1, -1) if k == 0 or self.tag[open_[k]] in bounds), 0)
-                    inner = next((j for j in range(k + 1, len(open_)) if self.tag[open_[j]] in ends.split()), 0)
+                    k = max((places[x][-1] for x in bounds if places.get(x)), default=0)
+                    inner = [places[x][i] for x in ends if (i := bisect.bisect_right(places.get(x, ()), k)) < len(places.get(x, ()))]
                     if inner:
-                        del open_[inner:]
-                elif len(open_) > 1 and self.tag[open_[-1]] == "p":
-                    open_.pop()
-                elif name in _HEADINGS and self.tag[open_[-1]] in _HEADINGS:
-                    open_.pop()
+                        cut(min(inner))
+                elif len(open_) > 1 and (self.tag[open_[-1]] == "p" or name in _HEADINGS and self.tag[open_[-1]] in _HEADINGS):
+                    cut(len(open_) - 1)
                 self.tag.append(name)
                 self.parent.append(open_[-1])
-                self.attributes.append(m[4] or "")
-                if name not in _VOID and not (m[4] or "").endswith("/"):
+                self.attributes.append(attributes)
+                if name not in _VOID and not attributes.endswith("/"):
+                    places.setdefault(name, []).append(len(open_))
                     open_.append(len(self.tag) - 1)
-        if at < len(page):
-            self.texts.append((open_[-1], block, page[at:], links > 0))
 
     def names(self, node: int) -> list[str]:
         """Lower-case letter runs of class, id and role."""
