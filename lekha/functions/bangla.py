@@ -18,21 +18,32 @@ _B, _C, _P, _H, _R, _G = S.BANGLA, S.CONSONANTS, S.PRE_KAR, S.HALANT, S.RA, S.GU
 #: Replacements of `normalize`, in order.
 STEPS = (("\u09af\u09bc", "\u09df"), (S.ZWJ, S.ZWNJ), ("\u09cb", "\u09c7\u09be"), ("\u09cc", "\u09c7\u09d7"))
 
+# Patterns for Java's matcher, and the same in plain form for readers without look-around (PLAIN). Loops
+# are possessive, so texts of any length need no stack, and a cluster is tried from its begin alone, so
+# they need time in proportion.
+
 #: A consonant cluster after ra and halant, and a pre-base sign on its consonant.
-REPH = f"([^{_H}\n]){_R}{_H}(?:((?:[{_C}]{_H})*[^{_C}\n])|((?:[{_C}]{_H})*[{_C}])([{_P}]?))"
-#: What a pre-base vowel sign moves in front of: one character, and all consonants tied to it by halants.
-CLUSTER = f"([^{_G}\n](?:{_H}[{_C}])*)([{_P}])"
+REPH = f"([^{_H}\n]){_R}{_H}(?:((?:[{_C}]{_H})*+[^{_C}\n])|((?:[{_C}]{_H}(?=[{_C}]))*+[{_C}])([{_P}]?))"
+#: Pre-base vowel signs after what they move in front of: the first goes before all consonants tied to
+#: each other by halants, or before one character; each further one before the last character of these.
+_WHOLE = f"((?:[^{_G}\n{_C}]|(?<![^{_G}\n]{_H})[{_C}]){_H}(?:[{_C}]{_H})*+)([{_C}])"
+CLUSTER = f"(?:{_WHOLE}|([^{_G}\n]))([{_P}])([{_P}]*+)"
 #: Inputs that a strict reader of one line rejects: a sign or halant with nothing before it, ra and
 #: halant at the start, and a reph whose cluster ends the line. Looked for after normalisation.
 ERRORS = (
     f"(?:^|\n)[{_P}]",
     f"(?:^|\n){_H}[^\n]",
     f"(?:^|\n){_R}{_H}[^\n]",
-    f"[^{_H}\n]{_R}{_H}(?:(?:[{_C}]{_H})*[{_C}]|(?:[{_C}]{_H})+)(?:\n|\\z)",
+    f"[^{_H}\n]{_R}{_H}(?=[{_C}])(?:[{_C}]{_H})*+[{_C}]?+(?:\n|\\z)",
 )
+PLAIN = {
+    REPH: f"([^{_H}\n]){_R}{_H}(?:((?:[{_C}]{_H})*[^{_C}\n])|((?:[{_C}]{_H})*[{_C}])([{_P}]?))",
+    CLUSTER: f"(?:([^{_G}\n]{_H}(?:[{_C}]{_H})*)([{_C}])|([^{_G}\n]))([{_P}])([{_P}]*)",
+    ERRORS[3]: f"[^{_H}\n]{_R}{_H}(?:(?:[{_C}]{_H})*[{_C}]|(?:[{_C}]{_H})+)(?:\n|\\z)",
+}
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """body(value), the value computed once for a row."""
     return F.transform(F.array(value), body)[0]
 
@@ -54,7 +65,7 @@ def reorder_reph(text: Column) -> Column:
 
 def reorder_pre_kar(text: Column) -> Column:
     """Pre-base vowel signs go before their cluster; none crosses a guard."""
-    return F.regexp_replace(text, CLUSTER, "$2$1")
+    return F.regexp_replace(text, CLUSTER, "$4$1$5$2$3")
 
 
 def reorder(text: Column) -> Column:
@@ -64,22 +75,24 @@ def reorder(text: Column) -> Column:
 
 #: Stretches that a sequence can match in: every sequence has a halant or one of three vowel signs, and
 #: no two consonants of a sequence touch.
-_JOINED = f"[{_C}\u09dc\u09dd]?(?:{S.ZWNJ}?{_H}[{_C}\u09dc\u09dd]?)+[\u09c1-\u09c3]?|[{_C}\u09dc\u09dd][\u09c1-\u09c3]"
-_PARTS = f"(?s){_JOINED}|(?:(?!{_JOINED}).)+"
+_JOINED = f"[{_C}\u09dc\u09dd]?(?:{S.ZWNJ}?{_H}[{_C}\u09dc\u09dd]?)++[\u09c1-\u09c3]?|[{_C}\u09dc\u09dd][\u09c1-\u09c3]"
 
 
 def transcode(text: Column) -> Column:
     """Characters to the legacy glyph encoding: marks first, then sequences in their order, then single characters.
 
-    Only the short stretches that sequences can match in go through the chain of sequences.
+    Only the stretches that sequences can match in go through the chain of sequences, all of a text as
+    one string of lines.
     """
     marks = F.translate(text, "".join(S.MARKS), "".join(S.MARKS.values()))  # some sequences give these marks anew
 
-    def chained(part: Column) -> Column:
-        out = reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), S.live_sequences(), part)
-        return F.when(part.rlike(f"^(?:{_JOINED})$"), out).otherwise(part)
+    def of(whole: Column) -> Column:
+        lines = F.array_join(F.regexp_extract_all(whole, F.lit(f"(?:{_JOINED})"), F.lit(0)), "\n")
+        chained = reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), S.live_sequences(), lines)
+        rest = F.split(whole, _JOINED, -1)
+        return F.array_join(F.zip_with(rest, F.split(chained, "\n", -1), lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
 
-    out = F.array_join(F.transform(F.regexp_extract_all(marks, F.lit(_PARTS), F.lit(0)), chained), "")
+    out = let(marks, of)
     letters = S.letters()
     for key, value in letters.items():
         if len(value) > 1:
@@ -95,7 +108,7 @@ def strip_invisible(text: Column) -> Column:
 
 def has_error_input(text: Column) -> Column:
     """A strict reader would reject the text (see ERRORS)."""
-    return _let(normalize(text), lambda t: reduce(lambda a, b: a | b, [t.rlike(e) for e in ERRORS]))
+    return let(normalize(text), lambda t: reduce(lambda a, b: a | b, [t.rlike(e) for e in ERRORS]))
 
 
 def encode(text: Column, strict: bool = False) -> Column:
@@ -107,9 +120,14 @@ def encode(text: Column, strict: bool = False) -> Column:
     return F.when(~has_error_input(text), out) if strict else out
 
 
+def encode_lines(text: Column) -> Column:
+    """`encode` of each line by itself; the line feeds stay."""
+    return F.translate(transcode(reorder(normalize(text))), S.ZWNJ, "")
+
+
 def fix(text: Column, strict: bool = False) -> Column:
     """`encode` for texts with Bengali characters, others as they are."""
-    return _let(text, lambda t: F.when(is_bangla(t), encode(t, strict)).otherwise(t))
+    return let(text, lambda t: F.when(is_bangla(t), encode(t, strict)).otherwise(t))
 
 
 def from_latin(text: Column) -> Column:

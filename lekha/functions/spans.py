@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lekha.functions.bangla import fix
+from lekha.functions.bangla import encode_lines, is_bangla, let
 from lekha.functions.script import BANGLA, DANDAS
 
 #: The name of the font that Bengali runs get where none is given.
@@ -54,11 +54,19 @@ def runs(text: Column) -> Column:
 
 
 def spans(text: Column, general: Column | None = None, bangla: Column | None = None) -> Column:
-    """array<struct<is_bangla, raw, text, style>> of the runs, Bengali ones fixed."""
+    """array<struct<is_bangla, raw, text, style>> of the runs, Bengali ones fixed.
+
+    Bengali runs hold no line feed, and no rule looks across one: so all runs of a text are encoded at
+    once, as lines of one string.
+    """
     general, bangla = general_style(None) if general is None else general, bangla_style(None) if bangla is None else bangla
 
-    def of(run: Column) -> Column:
-        own = run.rlike(f"^[{BANGLA}{DANDAS}]")
-        return F.struct(own.alias("is_bangla"), run.alias("raw"), fix(run).alias("text"), F.when(own, bangla).otherwise(general).alias("style"))
+    def of(parts: Column, fixed: Column) -> Column:
+        def one(run: Column, at: Column) -> Column:
+            own = run.rlike(f"^[{BANGLA}{DANDAS}]")
+            return F.struct(own.alias("is_bangla"), run.alias("raw"), F.when(is_bangla(run), fixed[at]).otherwise(run).alias("text"), F.when(own, bangla).otherwise(general).alias("style"))
+
+        return F.transform(parts, one)
 
-    return F.transform(runs(text), of)
+    lines = lambda parts: F.array_join(F.transform(parts, lambda run: F.when(is_bangla(run), run).otherwise(F.lit(""))), "\n")
+    return let(runs(text), lambda parts: let(F.split(encode_lines(lines(parts)), "\n", -1), lambda fixed: of(parts, fixed)))

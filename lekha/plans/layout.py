@@ -5,20 +5,27 @@ Every builder turns rows into rows of SPANS, numbered inside their block: no joi
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lekha.functions.spans import bangla_style, bold, general_style, spans
 
+#: What a span table says of the box around a span, null where the kind of block has no such thing.
+BOX = {"level": "int", "padding": "double", "padding_bottom": "double", "fill": "string", "border": "string", "cell_align": "string", "vertical_align": "string", "column_width": "double"}
 #: The columns of a span table.
-SPANS = "block_id block_kind row_ord col_ord span_ord is_bangla raw text font font_size font_weight color text_align".split()
+SPANS = [*"block_id block_kind row_ord col_ord span_ord is_bangla raw text font font_size font_weight color text_align".split(), *BOX]
 
 
 @dataclass(frozen=True)
 class Look:
-    """How a kind of block is set; each part a value or a column. `style` and `bangla_style` are struct columns or None."""
+    """How a kind of block is set; each part a value or a column. `style` and `bangla_style` are struct columns or None.
+
+    `extra` holds what only some kinds have: of BOX the values that hold for the whole block, the bullet of
+    a list, and of a table the heading's align and color, the border's color, the cells' align and the
+    columns' widths (a dict or a map column from column number to width).
+    """
 
     font_size: float | Column = 16.0
     font_weight: str | Column = "normal"
@@ -47,12 +54,17 @@ BULLETS = Look(font_size=14.0, extra={"bullet": "• "})
 TABLE = Look(font_size=14.0, text_align="start", extra={"header_align": "center", "header_color": "grey300", "border_color": "grey", "cell_align": "centerLeft", "padding": 6})
 
 
-def _flat(rows: DataFrame, kind: str, align) -> DataFrame:
-    """rows (block_id, row_ord, col_ord, s: array of spans) as span rows."""
-    at = rows.select("block_id", "row_ord", "col_ord", "align", F.posexplode("s").alias("span_ord", "x"))
+def _box(given: dict) -> Column:
+    values = {k: v if isinstance(v, Column) else F.lit(v) for k, v in given.items() if k in BOX}
+    return F.struct(*[values.get(k, F.lit(None)).cast(t).alias(k) for k, t in BOX.items()]).alias("box")
+
+
+def _flat(rows: DataFrame, kind: str) -> DataFrame:
+    """rows (block_id, row_ord, col_ord, align, box, s: array of spans) as span rows."""
+    at = rows.select("block_id", "row_ord", "col_ord", "align", "box", F.posexplode("s").alias("span_ord", "x"))
     return at.select(
         "block_id", F.lit(kind).alias("block_kind"), "row_ord", "col_ord", "span_ord", "x.is_bangla", "x.raw", "x.text",
-        "x.style.font", "x.style.font_size", "x.style.font_weight", "x.style.color", F.col("align").alias("text_align"),
+        "x.style.font", "x.style.font_size", "x.style.font_weight", "x.style.color", F.col("align").alias("text_align"), *[f"box.{k}" for k in BOX],
     )
 
 
@@ -64,10 +76,20 @@ def _zero(name: str) -> Column:
     return F.lit(0).alias(name)
 
 
+def _one_block(df: DataFrame, block_id: Column, s: Column, align, extra: dict, kind: str) -> DataFrame:
+    return _flat(df.select(block_id.alias("block_id"), _zero("row_ord"), _zero("col_ord"), _align(align), _box(extra), s.alias("s")), kind)
+
+
 def text_blocks(df: DataFrame, block_id: Column, text: Column, look: Look = TEXT, kind: str = "text") -> DataFrame:
-    """One block a row. Kinds with looks of their own: text, header, paragraph."""
-    s = spans(text, *look.styles())
-    return _flat(df.select(block_id.alias("block_id"), _zero("row_ord"), _zero("col_ord"), _align(look.text_align), s.alias("s")), kind, look.text_align)
+    """One block a row. Kinds with looks of their own: header, paragraph. A text block has no general font."""
+    if kind == "text":
+        look = replace(look, font=None)
+    return _one_block(df, block_id, spans(text, *look.styles()), look.text_align, look.extra, kind)
+
+
+def auto_text_blocks(df: DataFrame, block_id: Column, text: Column, look: Look = TEXT) -> DataFrame:
+    """As text blocks, in a general font if one is given."""
+    return text_blocks(df, block_id, text, look, "auto_text")
 
 
 def header_blocks(df: DataFrame, block_id: Column, text: Column, look: Look = HEADER) -> DataFrame:
@@ -78,15 +100,28 @@ def paragraph_blocks(df: DataFrame, block_id: Column, text: Column, look: Look =
     return text_blocks(df, block_id, text, look, "paragraph")
 
 
+def text_span(text: Column, font_size: float | Column = 16.0, font_weight: str | Column = "normal", color: str | Column = "black", bangla_font: str | Column | None = None) -> Column:
+    """The record of one part of a rich text."""
+    values = (("font_size", font_size, "double"), ("font_weight", font_weight, "string"), ("color", color, "string"), ("bangla_font", bangla_font, "string"))
+    return F.struct(text.cast("string").alias("text"), *[(v if isinstance(v, Column) else F.lit(v)).cast(t).alias(n) for n, v, t in values])
+
+
+def rich_text_item(text: Column, font_size: float | Column = 14.0, font_weight: str | Column | None = None, color: str | Column = "black", bangla_font: str | Column | None = None) -> Column:
+    """The same in the smaller default size of list-like parts."""
+    return text_span(text, font_size, font_weight, color, bangla_font)
+
+
 def rich_text_blocks(df: DataFrame, block_id: Column, parts: Column, text_align: str = "start") -> DataFrame:
-    """parts: array<struct<text, font_size, font_weight, color, bangla_font>>, null for the default; spans stay in the parts' order."""
+    """parts: array<struct<text, font_size, font_weight, color, bangla_font>>, null for the default; spans stay in the parts' order.
+
+    A part that is null, or whose text is, has no spans; the others stay.
+    """
 
     def of(p: Column) -> Column:
         look = Look(F.coalesce(p["font_size"], F.lit(16.0)), F.coalesce(p["font_weight"], F.lit("normal")), F.coalesce(p["color"], F.lit("black")), bangla_font=p["bangla_font"])
-        return spans(p["text"], *look.styles())
+        return spans(F.coalesce(p["text"], F.lit("")), *look.styles())
 
-    s = F.flatten(F.transform(parts, of))
-    return _flat(df.select(block_id.alias("block_id"), _zero("row_ord"), _zero("col_ord"), _align(text_align), s.alias("s")), "rich_text", text_align)
+    return _one_block(df, block_id, F.flatten(F.transform(parts, of)), text_align, {}, "rich_text")
 
 
 def bullet_blocks(df: DataFrame, block_id: Column, items: Column, look: Look = BULLETS) -> DataFrame:
@@ -95,17 +130,31 @@ def bullet_blocks(df: DataFrame, block_id: Column, items: Column, look: Look = B
     marker = look.extra.get("bullet", "• ") + "  "
     own = F.array(F.struct(F.lit(False).alias("is_bangla"), F.lit(marker).alias("raw"), F.lit(marker).alias("text"), general_style(look.style, None, look.font_size, look.font_weight, look.color).alias("style")))
     rows = df.select(block_id.alias("block_id"), F.posexplode(items).alias("row_ord", "item"))
-    cells = rows.select("block_id", "row_ord", _align(look.text_align), F.posexplode(F.array(own, spans(F.col("item"), general, bangla))).alias("col_ord", "s"))
-    return _flat(cells, "bullet_list", look.text_align)
+    cells = rows.select("block_id", "row_ord", _align(look.text_align), _box(look.extra), F.posexplode(F.array(own, spans(F.col("item"), general, bangla))).alias("col_ord", "s"))
+    return _flat(cells, "bullet_list")
 
 
 def table_blocks(df: DataFrame, block_id: Column, data: Column, look: Look = TABLE) -> DataFrame:
-    """data: array<array<string>>, the first row the heading, set bold and aligned on its own. Text is black whatever the look's color; an empty table has no rows."""
-    look = Look(look.font_size, look.font_weight, "black", look.text_align, look.font, look.bangla_font, look.style, look.bangla_style, look.extra)
-    rows = df.select(block_id.alias("block_id"), F.posexplode(data).alias("row_ord", "cells"))
-    cells = rows.select("block_id", "row_ord", F.posexplode("cells").alias("col_ord", "cell"))
+    """data: array<array<string>>, the first row the heading, set bold and aligned on its own. Text is black whatever the look's color; an empty table has no rows.
+
+    The heading is filled, the cells below are aligned in their boxes; columns without a width have none.
+    """
+    look = replace(look, color="black")
+    rows = df.select(block_id.alias("block_id"), F.posexplode(data).alias("row_ord", "cells"), *([look.extra["widths"].alias("widths")] if isinstance(look.extra.get("widths"), Column) else []))
+    cells = rows.select("block_id", "row_ord", *(["widths"] if "widths" in rows.columns else []), F.posexplode("cells").alias("col_ord", "cell"))
     head = F.col("row_ord") == 0
     plain, heading = look.styles(), look.styles(heading=True)
     s = spans(F.col("cell"), *[F.when(head, h).otherwise(p) for h, p in zip(heading, plain)])
     align = F.when(head, F.lit(look.extra.get("header_align", "center"))).otherwise(_align(look.text_align))
-    return _flat(cells.select("block_id", "row_ord", "col_ord", align.alias("align"), s.alias("s")), "table", look.text_align)
+    box = {k: v for k, v in look.extra.items() if k in BOX} | {
+        "fill": F.when(head, F.lit(look.extra.get("header_color", "grey300"))), "border": look.extra.get("border_color", "grey"), "vertical_align": look.extra.get("vertical_align", "middle"),
+        "cell_align": F.when(~head, F.lit(look.extra.get("cell_align", "centerLeft"))), "column_width": _width(look.extra.get("widths")),
+    }
+    return _flat(cells.select("block_id", "row_ord", "col_ord", align.alias("align"), _box(box), s.alias("s")), "table")
+
+
+def _width(widths) -> Column:
+    if widths is None or widths == {} if not isinstance(widths, Column) else False:
+        return F.lit(None)
+    given = F.col("widths") if isinstance(widths, Column) else F.create_map(*[F.lit(x) for k, v in widths.items() for x in (int(k), float(v))])
+    return F.try_element_at(given, F.col("col_ord"))

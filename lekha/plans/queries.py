@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from lekha.functions import script as S
 from lekha.functions.spans import RUNS, bangla_style, bold, general_style, runs, spans, style
 from lekha.operators.tables import fix_columns, fix_table
 from lekha.plans import layout
-from lekha.sources.readers import read_table
+from lekha.sources.readers import load_assets, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,11 +48,11 @@ def _normalize(x: str) -> str:
 
 
 def _reph(x: str) -> str:
-    return f"regexp_replace({x}, {_q(B.REPH)}, {_q(chr(92) + '1' + S.GUARD + chr(92) + '4' + chr(92) + '2' + chr(92) + '3' + S.RA + S.HALANT + S.GUARD)}, 'g')"
+    return f"regexp_replace({x}, {_q(B.PLAIN[B.REPH])}, {_q(chr(92) + '1' + S.GUARD + chr(92) + '4' + chr(92) + '2' + chr(92) + '3' + S.RA + S.HALANT + S.GUARD)}, 'g')"
 
 
 def _pre_kar(x: str) -> str:
-    return f"regexp_replace({x}, {_q(B.CLUSTER)}, {_q(chr(92) + '2' + chr(92) + '1')}, 'g')"
+    return f"regexp_replace({x}, {_q(B.PLAIN[B.CLUSTER])}, {_q(''.join(chr(92) + k for k in '41523'))}, 'g')"
 
 
 def _reorder(x: str) -> str:
@@ -98,12 +99,19 @@ def _mixed_sql(x: str) -> str:
     return f"({x} || {_q(chr(0x964) + ' ')} || {_latin(x)})"
 
 
-def _spans_sql(source: str, kind: str, size: float, weight: str = "normal", align: str = "start", key: str = "block_id") -> str:
-    """Span rows of `source` (block_id, row_ord, col_ord, t), set in one look."""
+_SQL_TYPES = {"int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+
+
+def _box_sql(**given: str) -> str:
+    return ", ".join(f"CAST({given.get(k, 'NULL')} AS {_SQL_TYPES[t]}) AS {k}" for k, t in layout.BOX.items())
+
+
+def _spans_sql(source: str, kind: str, size: float, weight: str = "normal", align: str = "start", **box: str) -> str:
+    """Span rows of `source` (block_id, row_ord, col_ord, t), set in one look; box: what holds for the whole block."""
     return f"""
 SELECT block_id, '{kind}' AS block_kind, CAST(row_ord AS INTEGER) AS row_ord, CAST(col_ord AS INTEGER) AS col_ord, CAST(span_ord AS INTEGER) AS span_ord,
        {_own('raw')} AS is_bangla, raw, {_fix('raw')} AS text, CASE WHEN {_own('raw')} THEN 'default-bangla' END AS font,
-       CAST({size} AS DOUBLE) AS font_size, {weight if weight.startswith('CASE') else _q(weight)} AS font_weight, 'black' AS color, {align if align.startswith('CASE') else _q(align)} AS text_align
+       CAST({size} AS DOUBLE) AS font_size, {weight if weight.startswith('CASE') else _q(weight)} AS font_weight, 'black' AS color, {align if align.startswith('CASE') else _q(align)} AS text_align, {_box_sql(**box)}
 FROM (SELECT block_id, row_ord, col_ord, rs[i + 1] AS raw, i AS span_ord
       FROM (SELECT *, unnest(range(len(rs))) AS i FROM (SELECT *, {_runs('t')} AS rs FROM ({source}))))
 """
@@ -158,7 +166,7 @@ def transcode_map(spark: SparkSession, folder: str) -> DataFrame:
 
 def _bare_sql() -> str:
     bare = f"translate(p_name, {_q(B.LATIN)}, {_q(B.LIKE)})"
-    tests = " OR ".join(f"regexp_matches({_normalize('t')}, {_q(e)})" for e in B.ERRORS)
+    tests = " OR ".join(f"regexp_matches({_normalize('t')}, {_q(B.PLAIN.get(e, e))})" for e in B.ERRORS)
     return f"SELECT p_partkey, ({tests}) AS has_error, CASE WHEN NOT ({tests}) THEN {_encode('t')} END AS strict FROM (SELECT p_partkey, {bare} AS t FROM part)"
 
 
@@ -214,12 +222,12 @@ def _id(name: str) -> Column:
     return F.col(name).cast("long")
 
 
-@_query(_spans_sql(f"SELECT p_partkey AS block_id, 0 AS row_ord, 0 AS col_ord, {_mixed_sql('p_name')} AS t FROM part", "header", 24, "bold"))
+@_query(_spans_sql(f"SELECT p_partkey AS block_id, 0 AS row_ord, 0 AS col_ord, {_mixed_sql('p_name')} AS t FROM part", "header", 24, "bold", level="0"))
 def header_spans(spark: SparkSession, folder: str) -> DataFrame:
     return layout.header_blocks(read_table(spark, folder, "part"), _id("p_partkey"), _mixed(F.col("p_name")))
 
 
-@_query(_spans_sql(f"SELECT doc_id AS block_id, 0 AS row_ord, 0 AS col_ord, {_mixed_sql('text')} AS t FROM documents", "paragraph", 14))
+@_query(_spans_sql(f"SELECT doc_id AS block_id, 0 AS row_ord, 0 AS col_ord, {_mixed_sql('text')} AS t FROM documents", "paragraph", 14, padding_bottom="12"))
 def paragraph_spans(spark: SparkSession, folder: str) -> DataFrame:
     return layout.paragraph_blocks(read_table(spark, folder, "documents"), _id("doc_id"), _mixed(F.col("text")))
 
@@ -229,39 +237,71 @@ def text_spans(spark: SparkSession, folder: str) -> DataFrame:
     return layout.text_blocks(read_table(spark, folder, "benchmark"), _id("item_id"), _mixed(F.col("text")))
 
 
+@_query(
+    _spans_sql(f"SELECT page_id AS block_id, 0 AS row_ord, 0 AS col_ord, {_mixed_sql('url')} AS t FROM pages", "auto_text", 16, align="end").replace("'default-bangla' END AS font", "'default-bangla' ELSE 'given' END AS font")
+)
+def auto_text_spans(spark: SparkSession, folder: str) -> DataFrame:
+    look = layout.Look(font="given", text_align="end")
+    return layout.auto_text_blocks(read_table(spark, folder, "pages"), _id("page_id"), _mixed(F.col("url")), look)
+
+
 @_query(f"""
-SELECT block_id, block_kind, row_ord, col_ord, CAST(row_number() OVER (PARTITION BY block_id ORDER BY part, span_ord) - 1 AS INTEGER) AS span_ord, is_bangla, raw, text, font, font_size, font_weight, color, text_align
+SELECT coalesce(font, 'none') AS font, count(*) AS n_spans, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM ({_spans_sql(f"SELECT conv_id AS block_id, 0 AS row_ord, 0 AS col_ord, {_mixed_sql('text')} AS t FROM conversations", "auto_text", 16)}) GROUP BY ALL""")
+def spans_by_font(spark: SparkSession, folder: str) -> DataFrame:
+    """The default font goes to Bengali runs where none is given, and to no others."""
+    rows = layout.auto_text_blocks(read_table(spark, folder, "conversations"), _id("conv_id"), _mixed(F.col("text")))
+    return rows.groupBy(F.coalesce("font", F.lit("none")).alias("font")).agg(F.count("*").alias("n_spans"), F.sum(F.length("text").cast("long")).alias("n_chars"))
+
+
+def asset_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    """The tables' own files read as binary assets; SQL over the tables cannot say the same."""
+    assets = load_assets(spark, folder, "*.parquet")
+    return assets.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length", F.hex(F.substring("content", 1, 4)).alias("kind"), F.sha2("content", 256).alias("sha256"))
+
+
+QUERIES["asset_bytes"] = asset_bytes
+
+
+@_query(f"""
+SELECT block_id, block_kind, row_ord, col_ord, CAST(row_number() OVER (PARTITION BY block_id ORDER BY part, span_ord) - 1 AS INTEGER) AS span_ord, is_bangla, raw, text, font, font_size, font_weight, color, text_align, {", ".join(layout.BOX)}
 FROM (
   SELECT 0 AS part, * REPLACE ('bold' AS font_weight, CAST(20 AS DOUBLE) AS font_size) FROM ({_spans_sql(f"SELECT conv_id * 1000 + turn AS block_id, 0 AS row_ord, 0 AS col_ord, {_latin('role')} AS t FROM conversations", "rich_text", 16)})
-  UNION ALL SELECT 1 AS part, * FROM ({_spans_sql(f"SELECT conv_id * 1000 + turn AS block_id, 0 AS row_ord, 0 AS col_ord, {_mixed_sql('text')} AS t FROM conversations", "rich_text", 16)}))""")
+  UNION ALL SELECT 1 AS part, * FROM ({_spans_sql(f"SELECT conv_id * 1000 + turn AS block_id, 0 AS row_ord, 0 AS col_ord, {_mixed_sql('text')} AS t FROM conversations", "rich_text", 14)}))""")
 def rich_text_spans(spark: SparkSession, folder: str) -> DataFrame:
-    def part(text: Column, size, weight) -> Column:
-        return F.struct(text.alias("text"), F.lit(size).cast("double").alias("font_size"), F.lit(weight).cast("string").alias("font_weight"), F.lit(None).cast("string").alias("color"), F.lit(None).cast("string").alias("bangla_font"))
-
-    parts = F.array(part(B.from_latin(F.col("role")), 20, "bold"), part(_mixed(F.col("text")), None, None))
+    parts = F.array(layout.text_span(B.from_latin(F.col("role")), 20.0, "bold"), layout.rich_text_item(_mixed(F.col("text"))))
     return layout.rich_text_blocks(read_table(spark, folder, "conversations"), F.col("conv_id") * 1000 + F.col("turn"), parts)
 
 
 @_query(f"""
 WITH items AS (SELECT block_id, CAST(i AS INTEGER) AS row_ord, ls[i + 1] AS line FROM (SELECT conv_id * 1000 + turn AS block_id, string_split(text, chr(10)) AS ls, unnest(range(len(string_split(text, chr(10))))) AS i FROM conversations))
-SELECT block_id, 'bullet_list' AS block_kind, row_ord, CAST(0 AS INTEGER) AS col_ord, CAST(0 AS INTEGER) AS span_ord, false AS is_bangla, '•   ' AS raw, '•   ' AS text, NULL AS font, CAST(14 AS DOUBLE) AS font_size, 'normal' AS font_weight, 'black' AS color, 'start' AS text_align FROM items
+SELECT block_id, 'bullet_list' AS block_kind, row_ord, CAST(0 AS INTEGER) AS col_ord, CAST(0 AS INTEGER) AS span_ord, false AS is_bangla, '•   ' AS raw, '•   ' AS text, NULL AS font, CAST(14 AS DOUBLE) AS font_size, 'normal' AS font_weight, 'black' AS color, 'start' AS text_align, {_box_sql()} FROM items
 UNION ALL SELECT * FROM ({_spans_sql(f"SELECT block_id, row_ord, 1 AS col_ord, {_latin('line')} AS t FROM items", "bullet_list", 14)})""")
 def bullet_list_spans(spark: SparkSession, folder: str) -> DataFrame:
     items = F.transform(F.split("text", "\n"), B.from_latin)
     return layout.bullet_blocks(read_table(spark, folder, "conversations"), F.col("conv_id") * 1000 + F.col("turn"), items)
 
 
-@_query(
-    _spans_sql(
-        f"""SELECT p_partkey AS block_id, 0 AS row_ord, 0 AS col_ord, {_latin("'name'")} AS t FROM part UNION ALL SELECT p_partkey, 0, 1, 'size' FROM part
-  UNION ALL SELECT p_partkey, 1, 0, {_latin('p_name')} FROM part UNION ALL SELECT p_partkey, 1, 1, CAST(p_size AS VARCHAR) FROM part""",
-        "table", 14, "CASE WHEN row_ord = 0 THEN 'bold' ELSE 'normal' END", "CASE WHEN row_ord = 0 THEN 'center' ELSE 'start' END",
-    )
-)
+def _table_sql(where: str, widths: str) -> str:
+    cells = f"""SELECT p_partkey AS block_id, 0 AS row_ord, 0 AS col_ord, {_latin("'name'")} AS t FROM part {where} UNION ALL SELECT p_partkey, 0, 1, 'size' FROM part {where}
+  UNION ALL SELECT p_partkey, 1, 0, {_latin('p_name')} FROM part {where} UNION ALL SELECT p_partkey, 1, 1, CAST(p_size AS VARCHAR) FROM part {where}"""
+    head = "CASE WHEN row_ord = 0 THEN '{}' ELSE '{}' END".format
+    box = {"padding": "6", "fill": "CASE WHEN row_ord = 0 THEN 'grey300' END", "border": "'grey'", "vertical_align": "'middle'", "cell_align": "CASE WHEN row_ord > 0 THEN 'centerLeft' END", "column_width": widths}
+    return _spans_sql(cells, "table", 14, head("bold", "normal"), head("center", "start"), **box)
+
+
+@_query(_table_sql("", "NULL"))
 def table_spans(spark: SparkSession, folder: str) -> DataFrame:
     return layout.table_blocks(read_table(spark, folder, "part"), _id("p_partkey"), _part_table())
 
 
+@_query(_table_sql("WHERE p_size % 3 <> 0", "CASE WHEN col_ord = 0 THEN 120.5 END"))
+def table_width_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables of which a third is empty, with a width for the first column."""
+    data = F.when(F.col("p_size") % 3 == 0, F.array().cast("array<array<string>>")).otherwise(_part_table())
+    look = replace(layout.TABLE, extra=layout.TABLE.extra | {"widths": {0: 120.5}})
+    return layout.table_blocks(read_table(spark, folder, "part"), _id("p_partkey"), data, look)
+
+
 @_query("""
 SELECT p_partkey, CASE WHEN k = 0 THEN NULL ELSE 'given' END AS general_font, CASE WHEN k = 0 THEN 16.0 ELSE size END AS general_size, CASE WHEN k = 0 THEN 'normal' END AS general_weight,
        CASE WHEN k < 2 THEN 'default-bangla' ELSE brand END AS bangla_font, CASE WHEN k < 2 THEN 16.0 WHEN k = 2 THEN size ELSE NULL END AS bangla_size, CASE WHEN k = 0 THEN NULL ELSE 'bold' END AS heading_weight

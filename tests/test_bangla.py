@@ -1,10 +1,15 @@
 """Known spellings, the order-sensitive map, error inputs, and properties on odd texts."""
 
+import re
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lekha.functions import bangla as B
 from lekha.functions import script as S
+from lekha.functions.spans import spans
 
 GOLDEN = {
     "বাংলা": "evsjv", "বাংলাদেশ": "evsjv‡`k", "আমি": "Avwg", "ভালোবাসি।": "fv‡jvevwm|", "কফি": "Kwd", "চা": "Pv", "বিস্কুট": "we¯‹yU", "মূল্য": "g~j¨",
@@ -49,6 +54,9 @@ def test_reorder(spark):
         "ইি": ["ি", "ই"],  # not a consonant: one character
         "\u09dc\u09bf": ["\u09bf", "\u09dc"],
         "ক্ষি": ["ি", "ক্ষ"],
+        "ক্ষিেৈ": ["ি", "ক", "্", "েৈ", "ষ"],  # further signs go before the last character
+        "কিে": ["িে", "ক"],
+        "ইিে": ["িে", "ই"],
     }
     assert column(spark, list(cases), B.reorder) == ["".join(parts) for parts in cases.values()]
 
@@ -83,3 +91,35 @@ def test_fix_leaves_nothing_mapped(spark):
 @pytest.mark.parametrize("text", ["Hello", "“quoted”", "a\nb", "é 中 😀", " "])
 def test_identity_without_bangla(spark, text):
     assert column(spark, [text], B.fix) == [text]
+
+
+LONG = {"halants": "্" * 10**6, "ka and halant": "ক্" * 500_000, "ka and halant, a sign": "ক্" * 500_000 + "কি", "reph": "ক" + "র্" * 500_000, "reph clusters": "কর্ক" * 250_000, "non-joiner": "\u200c্" * 500_000, "signs": "কি" * 500_000, "sign run": "ক" + "ি" * 10**6, "lines": "র্ক\n" * 250_000}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_long_texts_need_no_stack(spark, kind):
+    """A million characters of each pattern go through, in time."""
+    row = spark.createDataFrame([(LONG[kind],)], "t string")
+    got = row.select(F.length(B.fix(F.col("t"))).alias("fix"), F.length(B.encode(F.col("t"))).alias("encode"), B.has_error_input(F.col("t")).alias("bad"), F.size(spans(F.col("t"))).alias("n")).first()
+    assert got.fix == got.encode > 0 and got.bad is not None and got.n > 0
+
+
+@settings(max_examples=40, deadline=None)
+@given(texts=st.lists(st.text(st.sampled_from("কষরয\u09cd\u09bf\u09c7\u09c1\u09be\u09dc\u200cঅ a\n"), max_size=12), min_size=1, max_size=60))
+def test_plain_patterns_say_the_same(spark, texts):
+    """The patterns with look-around give what the plain ones give, in Python's matcher."""
+
+    def plain(text):
+        text = re.sub(B.PLAIN[B.REPH], lambda m: f"{m[1]}{S.GUARD}{m[4] or ''}{m[2] or ''}{m[3] or ''}{S.RA}{S.HALANT}{S.GUARD}", text)
+        return re.sub(B.PLAIN[B.CLUSTER], lambda m: "".join(m[k] or "" for k in (4, 1, 5, 2, 3)), text).replace(S.GUARD, "")
+
+    assert column(spark, texts, B.reorder) == [plain(t) for t in texts]
+    assert column(spark, texts, lambda c: c.rlike(B.ERRORS[3])) == [bool(re.search(B.PLAIN[B.ERRORS[3]].replace("\\z", "\\Z"), t)) for t in texts]
+
+
+def test_spans_are_fixed_one_by_one(spark):
+    """All runs of a text go through at once, and come out as each does alone."""
+    texts = ["ধর্ম শর্মিলা। ক্ষি \u09c7ক ্ক র্ক", "a ক\u200dখ\nগু ।।ক", "“আ” x ৳১০ ॥"]
+    got = column(spark, texts, lambda c: F.transform(spans(c), lambda x: F.struct(x["raw"], x["text"])))
+    flat = [(r.raw, r.text) for x in got for r in x]
+    assert column(spark, [raw for raw, _ in flat], B.fix) == [t for _, t in flat]

@@ -1,5 +1,7 @@
 """Every query against DuckDB running its SQL on the same tables."""
 
+import builtins
+import sys
 from pathlib import Path
 
 import duckdb
@@ -17,7 +19,7 @@ def duck(folder):
     return c
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, folder, duck, name):
     got, want = QUERIES[name](spark, folder).toPandas(), duck.execute(SQL[name]).df()
     columns = sorted(got.columns)
@@ -29,3 +31,23 @@ def test_query_equals_sql(spark, folder, duck, name):
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_assets_are_the_tables(spark, folder):
+    got = {r.name: (r.length, r.kind) for r in QUERIES["asset_bytes"](spark, folder).collect()}
+    assert got == {f.name: (f.stat().st_size, "50415231") for f in Path(folder).glob("*.parquet")}
+
+
+def test_entry_without_optional_parts(monkeypatch):
+    """A part whose modules cannot be imported is left out; the rest stays."""
+    real = builtins.__import__
+
+    def refuse(name, *args, **kwargs):
+        if name.startswith(("lekha.llm", "corpus_pipeline")):
+            raise ImportError(name)
+        return real(name, *args, **kwargs)
+
+    for m in [m for m in sys.modules if m.startswith(("lekha.llm", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, m)
+    monkeypatch.setattr(builtins, "__import__", refuse)
+    assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(SQL)

@@ -39,7 +39,11 @@ def test_styles(spark):
 
 
 def rows(df):
-    return [tuple(r) for r in df.orderBy("block_id", "row_ord", "col_ord", "span_ord").collect()]
+    return [tuple(r)[:13] for r in df.orderBy("block_id", "row_ord", "col_ord", "span_ord").collect()]
+
+
+def boxes(df):
+    return [{k: r[k] for k in layout.BOX if r[k] is not None} for r in df.orderBy("block_id", "row_ord", "col_ord", "span_ord").collect()]
 
 
 def test_blocks(spark):
@@ -81,6 +85,32 @@ def test_rich_text(spark):
     assert [(r[4], r[7], r[8], r[9], r[10], r[11]) for r in got] == [(0, "Av ", "x", 20.0, "bold", "red"), (1, "b", None, 20.0, "bold", "red"), (2, "c", None, 16.0, "normal", "black")]
 
 
+def test_boxes(spark):
+    df = spark.createDataFrame([(1, "x", [["h", "i"], ["a", "চা"]])], "i long, t string, d array<array<string>>")
+    assert boxes(layout.header_blocks(df, F.col("i"), F.col("t"))) == [{"level": 0}]
+    assert boxes(layout.paragraph_blocks(df, F.col("i"), F.col("t"))) == [{"padding_bottom": 12.0}]
+    assert boxes(layout.text_blocks(df, F.col("i"), F.col("t"))) == [{}]
+    every = {"padding": 6.0, "border": "grey", "vertical_align": "middle"}
+    assert boxes(layout.table_blocks(df, F.col("i"), F.col("d"))) == [every | {"fill": "grey300"}] * 2 + [every | {"cell_align": "centerLeft"}] * 2
+    for widths in ({1: 40}, F.create_map(F.lit(1), F.col("i") * 40.0)):
+        look = layout.Look(extra={"widths": widths, "padding": 8, "header_color": "blue", "border_color": "grey200", "cell_align": "center"})
+        got = boxes(layout.table_blocks(df, F.col("i"), F.col("d"), look))
+        assert [(r.get("column_width"), r["padding"], r.get("fill"), r["border"], r.get("cell_align")) for r in got] == [(None, 8.0, "blue", "grey200", None), (40.0, 8.0, "blue", "grey200", None), (None, 8.0, None, "grey200", "center"), (40.0, 8.0, None, "grey200", "center")]
+
+
+def test_auto_text_has_a_general_font(spark):
+    df = spark.createDataFrame([(1, "চা x")], "i long, t string")
+    look = layout.Look(font="f", bangla_font="b")
+    assert [(r[1], r[8]) for r in rows(layout.auto_text_blocks(df, F.col("i"), F.col("t"), look))] == [("auto_text", "b"), ("auto_text", "f")]
+    assert [r[8] for r in rows(layout.text_blocks(df, F.col("i"), F.col("t"), look))] == ["b", None]
+
+
+def test_null_parts_of_rich_text(spark):
+    df = spark.createDataFrame([(1, "a", None)], "i long, a string, b string")
+    parts = F.array(layout.text_span(F.col("a")), layout.text_span(F.col("b")), F.lit(None).cast("struct<text:string,font_size:double,font_weight:string,color:string,bangla_font:string>"), layout.rich_text_item(F.col("a")))
+    assert [(r[4], r[7], r[9], r[10], r[11]) for r in rows(layout.rich_text_blocks(df, F.col("i"), parts))] == [(0, "a", 16.0, "normal", "black"), (1, "a", 14.0, "normal", "black")]
+
+
 def test_tables_of_cells(spark):
     data = [["চা", None], [], ["a", "“ক”"]]
     df = spark.createDataFrame([(data,)], "x array<array<string>>")
