@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lekha.llm.components import components
+from lekha.llm.meeting import group_links
 from lekha.llm.shared import bounded_batches, written
 from lekha.llm.text import LOWER, U64, Texts, gram_hash, joined, mix, ragged, slices, span_hash, texts, word_hash, words, worker_cache
-from lekha.llm.vantage import forest, links
+from lekha.llm.vantage import links
 
 #: Tables of at most so many rows of 24 bytes are sent to all executors.
 SMALL = 500_000
@@ -147,9 +148,9 @@ def _sets(s: Shingles) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values, first, mix((total[1:] - total[:-1]) + np.diff(first).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
-def _alike(values: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
-    """The least index that each set reaches by links, of one in left with one in right, of at least that Jaccard similarity."""
-    size, root = np.diff(first), np.arange(len(first) - 1)
+def _alike(values: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of sets in left with sets in right of at least that Jaccard similarity, enough to join all that any would."""
+    size, root, pairs = np.diff(first), np.arange(len(first) - 1), [np.zeros((0, 2), np.int64)]
     number = np.unique(values, return_inverse=True)[1]
     mine = np.zeros(len(values), np.uint8)
     right = right[np.argsort(size[right], kind="stable")]
@@ -165,14 +166,15 @@ def _alike(values: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.nd
         mine[number[first[i] : first[i + 1]]] = 0
         hit = near[both / (size[i] + count - both) >= similarity]
         if len(hit):
+            pairs.append(np.stack([np.full(len(hit), i), hit], 1))
             roots = np.unique(np.append(root[hit], root[i]))
             root[np.isin(root, roots)] = roots[0]
-    return root
+    return tuple(np.concatenate(pairs).T)
 
 
 def _agree(x: np.ndarray, y: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of sketches with at least so many equal minima."""
-    left, right = [], []
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(x), 16):
         same = np.zeros((len(x[at : at + 16]), len(y)), np.int16)
         for k in range(x.shape[1]):
@@ -186,61 +188,43 @@ def sketch_links(sketches: DataFrame, similarity: float) -> DataFrame:
     """sketches (id, sketch, keys), one for each different sketch -> (u, v): links that join ids of similar sketches.
 
     Pairs with that similarity agree in fewer minima than asked for about once in a million.
-    Sketches that share a key are compared; a group is dealt in pairs of blocks, and each pair of
-    blocks gives a spanning forest of its links.
+    Sketches that share a key are compared.
     """
     least = math.ceil(MINIMA * similarity - 5 * math.sqrt(MINIMA * similarity * (1 - similarity)))  # five standard errors below
-    keyed = sketches.select("id", F.explode("keys").alias("key"))
-    size = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / _BLOCK).cast("int").alias("blocks"))
-    size = written(size, "keys")
-    keyed = written(keyed.join(F.broadcast(size) if size.count() <= SMALL else size, "key"), "met")
-    own = keyed.join(sketches.select("id", "sketch"), "id")
-    b = F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")
-    dealt = own.withColumn("b", b).select("key", "id", "sketch", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    dealt = dealt.select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "id", "sketch")
-
-    def compare(key, table):
-        order = np.argsort(table.column("id").to_numpy())
-        ids, mine = table.column("id").to_numpy()[order], (table.column("b").to_numpy() == key[1].as_py())[order]
-        x = np.stack([np.frombuffer(v.as_buffer(), np.uint32) for v in table.column("sketch")])[order]
-        alone = key[1].as_py() == key[2].as_py()
-        left, right = np.flatnonzero(mine), np.flatnonzero(mine if alone else ~mine)
-        i, j = _agree(x[left], x[right], least) if len(left) and len(right) else (left[:0], right[:0])
-        root = forest(len(ids), left[i], right[j])
-        linked = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"u": ids[linked], "v": ids[root[linked]]})
-
-    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "u long, v long").distinct()
+    keyed = sketches.select("id", F.explode("keys").alias("group"))
+    met = keyed.groupBy("group").agg(F.count("*").alias("many")).where("many > 1").select("group")
+    met = written(met, "keys")
+    keyed = written(keyed.join(F.broadcast(met) if met.count() <= SMALL else met, "group"), "met")
+    rows = keyed.join(sketches.select("id", "sketch"), "id").select("group", F.col("id").alias("node"), F.lit(1).cast("long").alias("n"), "sketch")
+
+    def pairs(table, left, right):
+        x = np.stack([np.frombuffer(v.as_buffer(), np.uint32) for v in table.column("sketch")])
+        i, j = _agree(x[left], x[right], least)
+        return left[i], right[j]
+
+    return group_links(rows, _BLOCK, _BLOCK, pairs).distinct()
 
 
 def set_links(sets: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """sets (node, root, n, text): texts by the hashes and sizes of their sets -> (u, v): links that join nodes of one root.
 
-    All pairs of one root are compared, and exactly. A root is dealt in pairs of blocks, and each pair
-    of blocks gives a spanning forest of its links. A text whose set has another hash than its node is passed over.
+    All that a root's sets link is joined, and sets are compared exactly. A text whose set has another hash
+    than its node is passed over.
     """
-    size = sets.groupBy("root").agg(F.count("*").alias("many"), F.sum("n").alias("n"))
-    size = written(size.select("root", F.ceil(F.greatest(F.col("many") / _SETS, F.col("n") / _SHINGLES, F.lit(1))).cast("int").alias("blocks")), "roots")
-    dealt = sets.join(F.broadcast(size) if size.count() <= SMALL else size, "root")
-    b = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
-    dealt = dealt.withColumn("b", b).select("root", "node", "text", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    dealt = dealt.select("root", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "node", "text")
-
-    def compare(key, table):
+
+    def pairs(table, left, right):
         values, first, own = _sets(_shingles(texts(table.column("text")), shingle))
-        node, mine = table.column("node").to_numpy(), table.column("b").to_numpy() == key[1].as_py()
-        right = np.flatnonzero(own.view(np.int64) == node)
-        right = right[np.unique(node[right], return_index=True)[1]]
-        left, alone = right[mine[right]], key[1].as_py() == key[2].as_py()
-        root = _alike(values, first, left, left if alone else right[~mine[right]], similarity)
-        linked = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"u": node[linked], "v": node[root[linked]]})
+        good = own.view(np.int64) == table.column("node").to_numpy()
+        return _alike(values, first, left[good[left]], right[good[right]], similarity)
 
-    return dealt.groupBy("root", "i", "j").applyInArrow(compare, "u long, v long")
+    return group_links(sets.select(F.col("root").alias("group"), "node", "n", "text"), _SETS, _SHINGLES, pairs)
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id): documents linked by `similarity` of their shingles.
+    """(doc_id, version, group, component_id): documents linked by `similarity` of their shingles.
+
+    component_id is the least doc_id that links can reach, `group` is a number that only linked documents
+    share, and version the XXH64 of the text: rows of one id with other texts are documents of their own.
 
     Similarity is the share of all their different shingles (by 64-bit hashes) that two documents
     have in common. Candidates are pairs with fingerprints at distance <= radius and pairs of similar
@@ -259,21 +243,21 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
             for k in range(ROW):
                 keys = mix(keys * U64(0x9E3779B97F4A7C15) + rows[:, :, k])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(t) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel().view(np.int64)))
-            columns = [b.column("doc_id"), pa.array(node.view(np.int64)), pa.array(np.diff(first)), pa.array(_fold(t, shingle).view(np.int64)), pa.array([r.tobytes() for r in m], pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "fingerprint", "sketch", "keys"])
+            columns = [b.column("doc_id"), b.column("version"), pa.array(node.view(np.int64)), pa.array(np.diff(first)), pa.array(_fold(t, shingle).view(np.int64)), pa.array([r.tobytes() for r in m], pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "node", "n", "fingerprint", "sketch", "keys"])
 
     bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    rows = written(docs.mapInArrow(of, "doc_id long, node long, n long, fingerprint long, sketch binary, keys array<long>"), "sketches")
-    different = rows.groupBy("node").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.min("fingerprint").alias("fingerprint"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
-    different = written(different, "different")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text")).where("doc_id is not null")
+    rows = written(docs.mapInArrow(of, "doc_id long, version long, node long, n long, fingerprint long, sketch binary, keys array<long>"), "sketches")
+    different = rows.groupBy("node").agg(F.min(F.struct("doc_id", "version")).alias("least"), F.max("n").alias("n"), F.min("fingerprint").alias("fingerprint"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    different = written(different.withColumn("id", F.col("least.doc_id")).withColumn("version", F.col("least.version")).drop("least"), "different")
     near = _by_fingerprint(different.select(F.col("node").alias("doc_id"), "fingerprint"), radius).select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
     close = sketch_links(different.select(F.col("node").alias("id"), "sketch", "keys"), similarity)
     candidates = components(near.where("u != v").unionByName(close))
-    sets = written(candidates.join(different.select("node", "id", "n"), "node"), "candidates")
-    sets = sets.join(docs.withColumnRenamed("doc_id", "id"), "id").select("node", "root", "n", "text")
+    sets = written(candidates.join(different.select("node", "id", "version", "n"), "node"), "candidates")
+    sets = sets.join(docs.withColumnRenamed("doc_id", "id"), ["id", "version"]).select("node", "root", "n", "text").dropDuplicates(["node"])
     found = components(set_links(sets, similarity, shingle)).join(different.select("node", "id"), "node")
     least = found.groupBy("root").agg(F.min("id").alias("least"))
-    found = written(found.join(least, "root").select("node", "least"), "joined")
-    group = written(different.select("node", "id").join(F.broadcast(found) if found.count() <= SMALL else found, "node", "left").select("node", F.coalesce("least", "id").alias("component_id")), "groups")
-    return rows.select("doc_id", "node").join(group, "node").select("doc_id", "component_id")
+    found = written(found.join(least, "root").select("node", "least", "root"), "joined")
+    group = written(different.select("node", "id").join(F.broadcast(found) if found.count() <= SMALL else found, "node", "left").select("node", F.coalesce("root", "node").alias("group"), F.coalesce("least", "id").alias("component_id")), "groups")
+    return rows.select("doc_id", "version", "node").join(group, "node").select("doc_id", "version", "group", "component_id")
