@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lekha.llm.shared import bounded_batches
+from lekha.llm.shared import bounded_batches, written
 from lekha.llm.text import U64, Texts, Words, gram_hash, joined, mix, ragged, same_bytes, slices, span_hash, texts, word_numbers, words, worker_cache
 
+#: Tables of at most so many rows of 16 bytes are sent to all executors in a join.
+SMALL = 500_000
 #: About so many sent words to a bucket.
 BUCKET_WORDS = 1_000_000
 #: No minimiser brings more words to its bucket.
@@ -240,18 +242,33 @@ def repeated_ranges(docs: DataFrame, window: int = 20, gram: int = 3, id_col: st
     return sent.groupBy("bucket").applyInArrow(settle, "doc_id long, first long, last long")
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text, ...) with lk_doc, a number for each document: its id, but for further texts of one id."""
+    version = F.xxhash64("text")
+    several = rows.groupBy("doc_id").agg(F.min(version).alias("lk_least"), F.max(version).alias("lk_most")).where("lk_least != lk_most").select("doc_id", "lk_least")
+    several = written(several, "several")
+    many = several.count()
+    if not many:
+        return rows.withColumn("lk_doc", F.col("doc_id"))
+    rows = rows.join(F.broadcast(several) if many <= SMALL else several, "doc_id", "left")
+    own = F.shiftrightunsigned(F.xxhash64("doc_id", version), 2).bitwiseOR(F.lit(1 << 62))
+    return rows.withColumn("lk_doc", F.when(F.col("lk_least") != version, own).otherwise(F.col("doc_id"))).drop("lk_least")
+
+
 def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), digests_only: bool = False) -> DataFrame:
     """(doc_id, text, n_words, n_removed, kept, kept_sha256): each document without the words of repeated windows.
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged; `kept` joins the rest by one space. A null text has no
-    words; rows with a null id are left out; rows that share an id count as one document's versions,
-    neither of which is earlier than the other. `keep` names further columns to carry along,
+    words; rows with a null id are left out. Of rows that share an id those with other texts than one of
+    them are documents of their own, which come after all others; rows alike in both are one document,
+    given as often as they stand. `keep` names further columns to carry along,
     none of which may have a name of this result;
     `digests_only` leaves `text` and `kept` out.
     """
-    ranges = repeated_ranges(docs, window, gram, id_col, text_col)
-    ranges = ranges.groupBy("doc_id").agg(F.collect_list("first").alias("lk_first"), F.collect_list("last").alias("lk_last"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep).where("doc_id is not null").join(ranges, "doc_id", "left")
+    rows = _numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep).where("doc_id is not null"))
+    ranges = repeated_ranges(rows, window, gram, "lk_doc")
+    ranges = ranges.groupBy(F.col("doc_id").alias("lk_doc")).agg(F.collect_list("first").alias("lk_first"), F.collect_list("last").alias("lk_last"))
+    rows = rows.join(ranges, "lk_doc", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("substrings")
