@@ -26,7 +26,7 @@ STEPS = (("\u09af\u09bc", "\u09df"), (S.ZWJ, S.ZWNJ), ("\u09cb", "\u09c7\u09be")
 REPH = f"([^{_H}\n]){_R}{_H}(?:((?:[{_C}]{_H})*+[^{_C}\n])|((?:[{_C}]{_H}(?=[{_C}]))*+[{_C}])([{_P}]?))"
 #: Pre-base vowel signs after what they move in front of: the first goes before all consonants tied to
 #: each other by halants, or before one character; each further one before the last character of these.
-_WHOLE = f"((?:[^{_G}\n{_C}]|(?<![^{_G}\n]{_H})[{_C}]){_H}(?:[{_C}]{_H})*+)([{_C}])"
+_WHOLE = f"([^{_G}\n]{_H}(?<![^{_G}\n]{_H}[{_C}]{_H})(?:[{_C}]{_H})*+)([{_C}])"
 CLUSTER = f"(?:{_WHOLE}|([^{_G}\n]))([{_P}])([{_P}]*+)"
 #: Inputs that a strict reader of one line rejects: a sign or halant with nothing before it, ra and
 #: halant at the start, and a reph whose cluster ends the line. Looked for after normalisation.
@@ -86,13 +86,13 @@ def transcode(text: Column) -> Column:
     """
     marks = F.translate(text, "".join(S.MARKS), "".join(S.MARKS.values()))  # some sequences give these marks anew
 
-    def of(whole: Column) -> Column:
-        lines = F.array_join(F.regexp_extract_all(whole, F.lit(f"(?:{_JOINED})"), F.lit(0)), "\n")
+    def of(parts: Column) -> Column:
+        """Every second part is such a stretch."""
+        lines = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, x).otherwise(F.lit(""))), "\n")
         chained = reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), S.live_sequences(), lines)
-        rest = F.split(whole, _JOINED, -1)
-        return F.array_join(F.zip_with(rest, F.split(chained, "\n", -1), lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
+        return let(F.split(chained, "\n", -1), lambda fixed: F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, fixed[i]).otherwise(x)), ""))
 
-    out = let(marks, of)
+    out = let(F.split(F.regexp_replace(marks, f"(?:{_JOINED})", f"{_G}$0{_G}"), _G, -1), of)
     letters = S.letters()
     for key, value in letters.items():
         if len(value) > 1:
