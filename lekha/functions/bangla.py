@@ -26,7 +26,7 @@ STEPS = (("\u09af\u09bc", "\u09df"), (S.ZWJ, S.ZWNJ), ("\u09cb", "\u09c7\u09be")
 REPH = f"([^{_H}\n]){_R}{_H}(?:((?:[{_C}]{_H})*+[^{_C}\n])|((?:[{_C}]{_H}(?=[{_C}]))*+[{_C}])([{_P}]?))"
 #: Pre-base vowel signs after what they move in front of: the first goes before all consonants tied to
 #: each other by halants, or before one character; each further one before the last character of these.
-_WHOLE = f"([^{_G}\n]{_H}(?<![^{_G}\n]{_H}[{_C}]{_H})(?:[{_C}]{_H})*+)([{_C}])"
+_WHOLE = f"([^{_G}\n]{_H}(?<![^{_G}\n{_P}]{_H}[{_C}]{_H})(?:[{_C}]{_H})*+)([{_C}])"
 CLUSTER = f"(?:{_WHOLE}|([^{_G}\n]))([{_P}])([{_P}]*+)"
 #: Inputs that a strict reader of one line rejects: a sign or halant with nothing before it, ra and
 #: halant at the start, and a reph whose cluster ends the line. Looked for after normalisation.

@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -105,6 +105,7 @@ def test_long_texts_need_no_stack(spark, kind):
 
 
 @settings(max_examples=40, deadline=None)
+@example(texts=["ও\u09bf\u09cdহ\u09cdহ\u09c7র", "হ\u09c7\u09bf\u09cdস\u09cdব\u09c7ক", "\u09bf\u09cdক\u09cdক\u09bf"])
 @given(texts=st.lists(st.text(st.sampled_from("কষরয\u09cd\u09bf\u09c7\u09c1\u09be\u09dc\u200cঅ a\n"), max_size=12), min_size=1, max_size=60))
 def test_plain_patterns_say_the_same(spark, texts):
     """The patterns with look-around give what the plain ones give, in Python's matcher."""
