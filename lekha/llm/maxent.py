@@ -40,6 +40,8 @@ _BATCH, _SHARDS, _FAN = 32768, 16, 32
 _CELL = (0, 2, 3)
 #: Each learner of a round reads so many times its table's size of text, about.
 _TEXT_A_TABLE = 1
+#: Learners of a round, at least.
+_LEARNERS = 4
 #: Text of a task that scores, in bytes, about, and blocks that it holds.
 TASK_BYTES, _BLOCKS = 24 << 20, 3
 END, START = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
@@ -48,7 +50,7 @@ _SALTS = [U64(x) for x in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47, 0xD1342543DE8
 
 def table_rows(types: int) -> int:
     """Rows of the feature table for so many different words: a power of two that grows with their root, 16,384 at least."""
-    return 1 << max(14, math.ceil(math.log2(64 * math.sqrt(max(1, types)))))
+    return 1 << max(14, round(math.log2(64 * math.sqrt(max(1, types)))))
 
 
 class Tokens(NamedTuple):
@@ -279,7 +281,7 @@ def train(rows: DataFrame, spec: Spec, text_bytes: int, rounds: int = ROUNDS, se
                     yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([s]), pa.array([float(seen)]), pa.array([part.tobytes()], pa.binary())], ["task", "shard", "seen", "part"])
 
         learning = rows.where("not held_out").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == turn).select("text")
-        tasks = max(1, min(learning.rdd.getNumPartitions(), text_bytes // rounds // (_TEXT_A_TABLE * 4 * model.size * (CLASSES + IN_CLASS))))
+        tasks = max(1, min(learning.rdd.getNumPartitions(), max(_LEARNERS, text_bytes // rounds // (_TEXT_A_TABLE * 4 * model.size * (CLASSES + IN_CLASS)))))
         parts = learning.coalesce(tasks).mapInArrow(of, schema)
         while True:
             parts = parts.groupBy(F.floor(F.col("task") / _FAN).alias("level"), "shard").applyInArrow(_mean, schema)
