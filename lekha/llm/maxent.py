@@ -1,8 +1,8 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
 The next token's class is predicted by a softmax over hashed features of the history: the last word,
-the one before, both together, the last with the third last (a skip), and the last three classes.
-A second softmax over the same features and the class predicts the cell inside it. Frequent tokens
+the last two, the last with the third last (a skip), and the last three classes. A second softmax over
+the first two of these and the class predicts the cell inside it. Frequent tokens
 share head classes and have a cell each. All other words fall into tail classes by their last two bytes
 and into cells by their hash; inside a cell they are told apart by their counts in the training texts,
 plus one, with one place for all words not met there. So the probabilities of all tokens sum to one
@@ -35,9 +35,9 @@ from lekha.llm.text import LOWER, U64, Table, Texts, mix, slices, texts, word_ha
 HEAD_CLASSES, IN_CLASS, TAIL_CLASSES = 8, 16, 24
 CLASSES = HEAD_CLASSES + TAIL_CLASSES
 RATE, ROUNDS = 0.7, 4
-_BATCH, _SHARDS, _FAN = 32768, 16, 32
-#: The features that choose a cell: the last word, the last two, the skip.
-_CELL = (0, 2, 3)
+_BATCH, _SHARDS, _FAN = 16384, 16, 32
+#: The features that choose a class and a cell, of: the last word, the last two, the skip, the last classes.
+_CLASS, _CELL = (0, 1, 2, 3), (0, 1)
 #: Each learner of a round reads so many times its table's size of text, about.
 _TEXT_A_TABLE = 1
 #: Learners of a round, at least.
@@ -45,12 +45,12 @@ _LEARNERS = 4
 #: Text of a task that scores, in bytes, about, and blocks that it holds.
 TASK_BYTES, _BLOCKS = 24 << 20, 3
 END, START = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
-_SALTS = [U64(x) for x in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0xF1357AEA2E62A9C5)]
+_SALTS = [U64(x) for x in (0x2545F4914F6CDD1D, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0xF1357AEA2E62A9C5)]
 
 
 def table_rows(types: int) -> int:
     """Rows of the feature table for so many different words: a power of two that grows with their root, 16,384 at least."""
-    return 1 << max(14, round(math.log2(64 * math.sqrt(max(1, types)))))
+    return 1 << max(14, round(math.log2(128 * math.sqrt(max(1, types)))))
 
 
 class Tokens(NamedTuple):
@@ -115,14 +115,14 @@ class Model:
             back.append(h), kind.append(c)
         a, b, d = back
         kinds = ((kind[0] * 64 + kind[1]) * 64 + kind[2]).astype(U64)
-        values = a, b, a * U64(3) + b, a * U64(5) + d, kinds
+        values = a, a * U64(3) + b, a * U64(5) + d, kinds
         return [mix(x ^ s) for x, s in zip(values, _SALTS)]
 
     def _rows(self, feature: np.ndarray) -> np.ndarray:
         return (feature & U64(self.size - 1)).astype(np.uint16 if self.size <= 1 << 16 else np.uint32)
 
     def _class_rows(self, feature: list[np.ndarray]) -> list[np.ndarray]:
-        return [self._rows(f) for f in feature]
+        return [self._rows(feature[k]) for k in _CLASS]
 
     def _cell_rows(self, feature: list[np.ndarray], cls: np.ndarray) -> list[np.ndarray]:
         own = cls.astype(U64) * U64(0x9E3779B97F4A7C15)
@@ -171,11 +171,15 @@ class Model:
 
     @staticmethod
     def _update(table: np.ndarray, sums: np.ndarray, rows: list[np.ndarray], g: np.ndarray) -> None:
+        lanes = np.ascontiguousarray(g.T, dtype=np.float64)
         for r in rows:
-            order = np.argsort(r, kind="stable")
+            order = np.argsort(r, kind="stable" if r.itemsize == 2 else None)
             own = r[order]
-            begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            total, own = np.add.reduceat(g[order], begin, axis=0), own[begin]
+            first = np.append(True, own[1:] != own[:-1])
+            number = np.empty(len(r), np.int64)
+            number[order] = np.cumsum(first) - 1
+            own = own[first]
+            total = np.stack([np.bincount(number, lane, len(own)) for lane in lanes]).T.astype(np.float32, order="C")
             sums[own] += np.einsum("ij,ij->i", total, total)
             total *= (RATE / len(rows) / np.sqrt(sums[own] / table.shape[1] + np.float32(1e-3)))[:, None]
             table[own] -= total
