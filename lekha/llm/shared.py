@@ -35,9 +35,15 @@ def written(df: DataFrame, name: str = "step", codec: str = "zstd") -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Remove all folders made here so far; to be called when the results that read them are done with."""
+def made() -> int:
+    """How many folders have been made here so far."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Remove the folders made here after the first `since`, but for the last `keep`; to be called when the results that read them are done with."""
     jvm = spark.sparkContext._jvm
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+    end = len(_made) - keep
+    for path in map(jvm.org.apache.hadoop.fs.Path, _made[since:end]):
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _made[since:end]

@@ -25,6 +25,8 @@ from lekha.llm.text import LOWER, U64, Table, Texts, joined, mix, slices, texts,
 
 #: Labelled rows of each class that the models learn from, at most; chosen by a hash of the id.
 SAMPLE = 2000
+#: Longer texts (in characters) do not teach.
+LONGEST = 200_000
 ORDER, SHARED = 6, 2
 DISCOUNT = 0.9
 #: Words of a stretch.
@@ -167,11 +169,12 @@ class Models:
         return 1 / (1 + np.exp(-np.clip(self.features(text) @ self.curve[:2] + self.curve[2], -500, 500)))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Models | None:
-    """Models from at most `sample` labelled rows of each class, none with crc32(id as text) divisible by `folds`.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Models | None:
+    """Models from at most `sample` labelled ids of each class, none with crc32(id as text) divisible by `folds`.
 
-    The curve weighs the classes as all such labelled rows have them.
-    None where a class has no rows. Rows with a null id, text or label do not teach.
+    The curve weighs the classes as all such labelled ids have them. None where a class has no rows. Rows
+    with a null id, text or label do not teach, nor do texts of over `longest` characters; an id that
+    stands in several rows teaches once, by the least of its texts.
     """
     bounded_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
@@ -180,7 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     chosen = [known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(sample) for y in (0, 1)]
     total = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}  # two numbers
     few = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * sample short rows
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").join(few, "doc_id")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") <= longest).join(few, "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("toxicity")
