@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lekha.llm import sentence_pieces, simhash, substrings, toxicity, winnowing
 from lekha.llm.queries import PIECES
-from lekha.llm.shared import written
+from lekha.llm.shared import made, release, written
 
 
 def _key() -> Column:
@@ -90,8 +90,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written as Parquet and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over `documents`, each written as Parquet and read again by the next; what a stage needed besides goes when it is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), made()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        release(spark, before, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
