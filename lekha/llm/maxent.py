@@ -1,8 +1,8 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
 The next token's class is predicted by a softmax over hashed features of the history: the last word,
-the last two, the last with the third last (a skip), and the last three classes. A second softmax over
-the first two of these and the class predicts the cell inside it. Frequent tokens
+the last word with the class of the third last (a skip), and the last three classes. A second softmax
+over the last word, the last two words and the class predicts the cell inside it. Frequent tokens
 share head classes and have a cell each. All other words fall into tail classes by their last two bytes
 and into cells by their hash; inside a cell they are told apart by their counts in the training texts,
 plus one, with one place for all words not met there. So the probabilities of all tokens sum to one
@@ -37,20 +37,20 @@ CLASSES = HEAD_CLASSES + TAIL_CLASSES
 RATE, ROUNDS = 0.7, 4
 _BATCH, _SHARDS, _FAN = 16384, 16, 32
 #: The features that choose a class and a cell, of: the last word, the last two, the skip, the last classes.
-_CLASS, _CELL = (0, 1, 2, 3), (0, 1)
+_CLASS, _CELL = (0, 2, 3), (0, 1)
 #: Each learner of a round reads so many times its table's size of text, about.
 _TEXT_A_TABLE = 1
 #: Learners of a round, at least.
 _LEARNERS = 4
 #: Text of a task that scores, in bytes, about, and blocks that it holds.
-TASK_BYTES, _BLOCKS = 24 << 20, 3
+TASK_BYTES, _BLOCKS = 24 << 20, 1
 END, START = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 _SALTS = [U64(x) for x in (0x2545F4914F6CDD1D, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0xF1357AEA2E62A9C5)]
 
 
 def table_rows(types: int) -> int:
     """Rows of the feature table for so many different words: a power of two that grows with their root, 16,384 at least."""
-    return 1 << max(14, round(math.log2(128 * math.sqrt(max(1, types)))))
+    return 1 << max(14, round(math.log2(64 * math.sqrt(max(1, types)))))
 
 
 class Tokens(NamedTuple):
@@ -106,16 +106,14 @@ class Model:
     @staticmethod
     def features(t: Tokens, cls: np.ndarray) -> list[np.ndarray]:
         """For each feature the hash of its value at each token."""
-        n, place = len(t.hash), np.arange(len(t.hash)) - np.repeat(t.first[:-1], np.diff(t.first))
-        back, kind = [], []
-        for k in (1, 2, 3):
-            h, c = np.full(n, START, U64), np.full(n, CLASSES, np.int64)
-            h[k:], c[k:] = t.hash[:-k], cls[:-k]
-            h[place < k], c[place < k] = START, CLASSES
-            back.append(h), kind.append(c)
-        a, b, d = back
-        kinds = ((kind[0] * 64 + kind[1]) * 64 + kind[2]).astype(U64)
-        values = a, a * U64(3) + b, a * U64(5) + d, kinds
+        n, place, back = len(t.hash), np.arange(len(t.hash)) - np.repeat(t.first[:-1], np.diff(t.first)), []
+        for k, of, start in ((1, t.hash, START), (2, t.hash, START), (1, cls, CLASSES), (2, cls, CLASSES), (3, cls, CLASSES)):
+            h = np.full(n, start, U64)
+            h[k:] = of[:-k]
+            h[place < k] = start
+            back.append(h)
+        a, b, *kinds = back
+        values = a, a * U64(3) + b, a * U64(5) + kinds[2], (kinds[0] * U64(64) + kinds[1]) * U64(64) + kinds[2]
         return [mix(x ^ s) for x, s in zip(values, _SALTS)]
 
     def _rows(self, feature: np.ndarray) -> np.ndarray:
