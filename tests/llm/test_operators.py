@@ -513,11 +513,11 @@ def test_language_model_score_by_hand():
     for a, b in zip(t.first[:-1].tolist(), t.first[1:].tolist()):
         for i in range(a, b):
             back = [(int(t.hash[i - k]), place(i - k)[0]) if i - k >= a else (int(maxent.START), maxent.CLASSES) for k in (1, 2, 3)]
-            (x, c1), (y, c2), (z, c3) = back
-            values = x, (x * 3 + y) & mask, (x * 5 + z) & mask, (c1 * 64 + c2) * 64 + c3
+            (x, c1), (y, c2), (_, c3) = back
+            values = x, (x * 3 + y) & mask, (x * 5 + c3) & mask, (c1 * 64 + c2) * 64 + c3
             features = [mixed(v ^ int(s)) for v, s in zip(values, maxent._SALTS)]
             c, s = place(i)
-            outer = [float(model.spec.bias[k]) + sum(float(model.w[f % model.size, k]) for f in features) for k in range(maxent.CLASSES)]
+            outer = [float(model.spec.bias[k]) + sum(float(model.w[features[f] % model.size, k]) for f in (0, 2, 3)) for k in range(maxent.CLASSES)]
             rows = [mixed(features[f] + c * 0x9E3779B97F4A7C15 & mask) % model.size for f in (0, 1)]
             inner = [float(model.spec.inner[c, k]) + sum(float(model.v[r, k]) for r in rows) if c >= maxent.HEAD_CLASSES or c * maxent.IN_CLASS + k < len(head) else -1e30 for k in range(maxent.IN_CLASS)]
             want = math.log10(share(outer, c)) + math.log10(math.exp(inner[s] - max(inner)) / sum(math.exp(x - max(inner)) for x in inner))
