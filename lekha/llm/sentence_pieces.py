@@ -93,7 +93,7 @@ class Model(IdCache):
     def __init__(self, path: str, kind: str = "bpe"):
         import sentencepiece
 
-        super().__init__(500_000)
+        super().__init__(300_000)
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.kind, self.unk = kind, sp.unk_id()
         every = range(sp.get_piece_size())
@@ -362,8 +362,8 @@ def _model(path: str, kind: str) -> Model:
     return own.get((path, kind)) or own.setdefault((path, kind), Model(path, kind))
 
 
-def encode(docs: DataFrame, model: str, kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>, ids_crc32) of every whole text, without begin or end tokens.
+def encode(docs: DataFrame, model: str, kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:
+    """(doc_id, ids array<int>, ids_crc32) of every whole text, without begin or end tokens; `back` adds what the ids decode to, as `decoded`.
 
     `model` is the path of a SentencePiece file, readable on every executor. Null and empty texts have
     no ids; every row gives one, null and repeated ids too. ids_crc32 is that of the ids as
@@ -377,10 +377,13 @@ def encode(docs: DataFrame, model: str, kind: str = "bpe", id_col: str = "doc_id
             to = np.append(0, np.cumsum(count)).astype(np.int32)
             flat = ids.astype("<i4")
             crc = [zlib.crc32(flat[x:y]) for x, y in zip(to[:-1].tolist(), to[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(to), pa.array(flat)), pa.array(crc, pa.int64())], ["doc_id", "ids", "ids_crc32"])
+            out = {"doc_id": b.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(to), pa.array(flat)), "ids_crc32": pa.array(crc, pa.int64())}
+            if back:
+                out["decoded"] = pa.array(own.decode(count, ids), pa.string())
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(of, "doc_id long, ids array<int>, ids_crc32 long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(of, "doc_id long, ids array<int>, ids_crc32 long" + ", decoded string" * back)
 
 
 def decode(encoded: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
