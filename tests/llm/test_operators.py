@@ -158,6 +158,8 @@ def test_sentence_pieces(docs, none):
         text = BASE if r.doc_id is None else TEXTS[r.doc_id]
         assert r.ids == library.encode(text) and r.decoded == text
         assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<i4").tobytes())
+    once = sentence_pieces.encode(docs, PIECES, back=True)
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, back))
     assert sentence_pieces.decode(sentence_pieces.encode(none, PIECES), PIECES).count() == 0
 
 
