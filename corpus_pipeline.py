@@ -73,7 +73,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's ids and what they decode to, as digests besides the ids."""
     model = public_tokenizers.path(PIECES)
-    back = sentence_pieces.decode(sentence_pieces.encode(docs, model), model)
+    back = sentence_pieces.encode(docs, model, back=True)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
