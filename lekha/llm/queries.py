@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekha.llm import inner_products, main_text, maxent, sentence_pieces, simhash, substrings, token_counts, token_store, toxicity, winnowing
-from lekha.llm.shared import shared_folder
+from lekha.llm import chat, inner_products, main_text, maxent, prefix_trie, resampling, sentence_pieces, simhash, substrings, token_counts, token_store, toxicity, winnowing
+from lekha.llm.shared import shared_folder, written
 
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -64,6 +64,20 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_crc32", F.length("decoded").cast("long").alias("n_chars"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(chat.CONTROL).alias("text"))
+    return chat.digests(written(chat.format_conversations(turns.unionByName(more)), "formatted"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.regrafted(prefix_trie.turn_lists(_table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_language_model": op2_language_model,
@@ -75,10 +89,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_sentence_pieces": op10_sentence_pieces,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_chat_format": op12_chat_format,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 SQL: dict[str, str] = {
     "op4_inner_products": inner_products.SQL,
     "op7_decontamination": winnowing.SQL,
     "op9_substring_dedup": substrings.SQL,
+    "op11_importance_resampling": resampling.SQL,
+    "op12_chat_format": chat.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
