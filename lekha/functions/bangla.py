@@ -6,11 +6,13 @@ streams alike. Chains are long, so give their results an alias.
 
 from __future__ import annotations
 
+import string
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lekha.functions import scan
 from lekha.functions import script as S
 
 _B, _C, _P, _H, _R, _G = S.BANGLA, S.CONSONANTS, S.PRE_KAR, S.HALANT, S.RA, S.GUARD
@@ -69,8 +71,9 @@ def reorder_pre_kar(text: Column) -> Column:
 
 
 def reorder(text: Column) -> Column:
-    """Both reorderings of normalised text, guards removed."""
-    return F.translate(reorder_pre_kar(reorder_reph(text)), _G, "")
+    """Both reorderings of normalised text, as one scan from left to right does them; orders that no spelling has are folded (lekha.functions.scan)."""
+    out = reorder_pre_kar(reorder_reph(scan.guarded(text)))
+    return F.translate(out, "".join(scan.SAFE.values()) + _G, "".join(scan.SAFE))
 
 
 #: Stretches that a sequence can match in: every sequence has a halant or one of three vowel signs, and
@@ -78,27 +81,41 @@ def reorder(text: Column) -> Column:
 _JOINED = f"[{_C}\u09dc\u09dd]?(?:{S.ZWNJ}?{_H}[{_C}\u09dc\u09dd]?)++[\u09c1-\u09c3]?|[{_C}\u09dc\u09dd][\u09c1-\u09c3]"
 
 
+def _alphabets() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters of the sequences as single bytes, and those of their values as characters for private use."""
+    keys = sorted({c for k, _ in S.live_sequences() for c in k})
+    values = sorted({c for _, v in S.live_sequences() for c in v})
+    return dict(zip(keys, string.ascii_letters, strict=False)), {c: chr(0xE000 + i) for i, c in enumerate(values)}
+
+
 def transcode(text: Column) -> Column:
     """Characters to the legacy glyph encoding: marks first, then sequences in their order, then single characters.
 
     Only the stretches that sequences can match in go through the chain of sequences, all of a text as
-    one string of lines.
+    one string of lines. There the chain reads single bytes for their characters and writes characters for
+    private use, so it passes over few bytes and finds keys by their first.
     """
+    narrow, private = _alphabets()
+    letters = S.letters()
+    one = {k: v for k, v in letters.items() if len(v) == 1}
+    final = one | {b: one.get(c, c) for c, b in narrow.items()} | {b: c for c, b in private.items()}
     marks = F.translate(text, "".join(S.MARKS), "".join(S.MARKS.values()))  # some sequences give these marks anew
+    put = lambda x, steps: F.translate(x, "".join(steps), "".join(steps.values()))
+
+    def chained(x: Column) -> Column:
+        steps = [["".join(m[c] for c in part) for m, part in zip((narrow, private), s)] for s in S.live_sequences()]
+        return put(reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), steps, put(x, narrow)), final)
 
     def of(parts: Column) -> Column:
         """Every second part is such a stretch."""
         lines = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, x).otherwise(F.lit(""))), "\n")
-        chained = reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), S.live_sequences(), lines)
-        return let(F.split(chained, "\n", -1), lambda fixed: F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, fixed[i]).otherwise(x)), ""))
+        return let(F.split(chained(lines), "\n", -1), lambda fixed: F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, fixed[i]).otherwise(x)), ""))
 
     out = let(F.split(F.regexp_replace(marks, f"(?:{_JOINED})", f"{_G}$0{_G}"), _G, -1), of)
-    letters = S.letters()
     for key, value in letters.items():
         if len(value) > 1:
             out = F.replace(out, F.lit(key), F.lit(value))
-    one = {k: v for k, v in letters.items() if len(v) == 1}
-    return F.translate(out, "".join(one), "".join(one.values()))
+    return put(out, one)
 
 
 def strip_invisible(text: Column) -> Column:

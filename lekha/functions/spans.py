@@ -61,12 +61,17 @@ def spans(text: Column, general: Column | None = None, bangla: Column | None = N
     """
     general, bangla = general_style(None) if general is None else general, bangla_style(None) if bangla is None else bangla
 
-    def of(parts: Column, fixed: Column) -> Column:
-        def one(run: Column, at: Column) -> Column:
-            own = run.rlike(f"^[{BANGLA}{DANDAS}]")
-            return F.struct(own.alias("is_bangla"), run.alias("raw"), F.when(is_bangla(run), fixed[at]).otherwise(run).alias("text"), F.when(own, bangla).otherwise(general).alias("style"))
+    def kind(run: Column) -> Column:
+        """A run and its script, told by how its string compares: all of a run's characters but spaces are of one kind."""
+        letter, danda = (run >= "\u0980") & (run < "\u0a00"), (run >= "\u0964") & (run < "\u0966")
+        return F.struct((letter | danda).alias("own"), run.alias("raw"), (letter | (danda & is_bangla(run))).alias("fixed"))
 
-        return F.transform(parts, one)
+    def of(kinds: Column) -> Column:
+        lines = F.array_join(F.transform(kinds, lambda k: F.when(k["fixed"], k["raw"]).otherwise(F.lit(""))), "\n")
 
-    lines = lambda parts: F.array_join(F.transform(parts, lambda run: F.when(is_bangla(run), run).otherwise(F.lit(""))), "\n")
-    return let(runs(text), lambda parts: let(F.split(encode_lines(lines(parts)), "\n", -1), lambda fixed: of(parts, fixed)))
+        def one(k: Column, line: Column) -> Column:
+            return F.struct(k["own"].alias("is_bangla"), k["raw"].alias("raw"), F.when(k["fixed"], line).otherwise(k["raw"]).alias("text"), F.when(k["own"], bangla).otherwise(general).alias("style"))
+
+        return let(F.split(encode_lines(lines), "\n", -1), lambda fixed: F.transform(kinds, lambda k, i: one(k, fixed[i])))
+
+    return let(F.transform(runs(text), kind), of)

@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lekha.functions import bangla as B
+from lekha.functions import scan
 from lekha.functions import script as S
 from lekha.functions.spans import RUNS, bangla_style, bold, general_style, runs, spans, style
 from lekha.operators.tables import fix_columns, fix_table
 from lekha.plans import layout
-from lekha.sources.readers import load_assets, read_table
+from lekha.sources.readers import load_assets, read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -56,7 +57,7 @@ def _pre_kar(x: str) -> str:
 
 
 def _reorder(x: str) -> str:
-    return f"replace({_pre_kar(_reph(x))}, {_q(S.GUARD)}, '')"
+    return f"translate({_pre_kar(_reph(scan.guarded_sql(x)))}, {_q(''.join(scan.SAFE.values()) + S.GUARD)}, {_q(''.join(scan.SAFE))})"
 
 
 def _transcode(x: str) -> str:
@@ -90,6 +91,10 @@ def _runs(x: str) -> str:
     return f"regexp_extract_all({x}, {_q(RUNS)})"
 
 
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spread(read_table(spark, folder, name))
+
+
 def _mixed(text: Column) -> Column:
     """The text, a danda and a space, and its words once more in the other script."""
     return F.concat(text, F.lit("। "), B.from_latin(text))
@@ -123,7 +128,7 @@ FROM (SELECT block_id, row_ord, col_ord, rs[i + 1] AS raw, i AS span_ord
 @_query(f"SELECT conv_id, turn, {_is_bangla('text')} AS raw_bangla, {_is_bangla(_latin('text'))} AS made_bangla FROM conversations")
 def script_detect(spark: SparkSession, folder: str) -> DataFrame:
     t = F.col("text")
-    return read_table(spark, folder, "conversations").select("conv_id", "turn", B.is_bangla(t).alias("raw_bangla"), B.is_bangla(B.from_latin(t)).alias("made_bangla"))
+    return _table(spark, folder, "conversations").select("conv_id", "turn", B.is_bangla(t).alias("raw_bangla"), B.is_bangla(B.from_latin(t)).alias("made_bangla"))
 
 
 @_query(
@@ -131,19 +136,19 @@ def script_detect(spark: SparkSession, folder: str) -> DataFrame:
     f"CAST(sum(len([r for r in {_runs('m')} if {_own('r')}])) AS BIGINT) AS n_bangla_spans FROM (SELECT lang, {_mixed_sql('text')} AS m FROM documents) GROUP BY lang"
 )
 def script_counts_by_lang(spark: SparkSession, folder: str) -> DataFrame:
-    rows = read_table(spark, folder, "documents").select("lang", _mixed(F.col("text")).alias("m")).select("lang", B.is_bangla(F.col("m")).alias("b"), runs(F.col("m")).alias("r"))
+    rows = _table(spark, folder, "documents").select("lang", _mixed(F.col("text")).alias("m")).select("lang", B.is_bangla(F.col("m")).alias("b"), runs(F.col("m")).alias("r"))
     own = F.filter("r", lambda x: x.rlike(f"^[{S.BANGLA}{S.DANDAS}]"))
     return rows.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.col("b").cast("long")).alias("n_bangla"), F.sum(F.size("r").cast("long")).alias("n_spans"), F.sum(F.size(own).cast("long")).alias("n_bangla_spans"))
 
 
 def _documents(f: Callable[[Column], Column]) -> Callable[[SparkSession, str], DataFrame]:
-    """A function of the made text of each document."""
-    return lambda spark, folder: read_table(spark, folder, "documents").select("doc_id", f(B.from_latin(F.col("text"))).alias("out"))
+    """A function of each document's text in both scripts."""
+    return lambda spark, folder: _table(spark, folder, "documents").select("doc_id", f(_mixed(F.col("text"))).alias("out"))
 
 
 def _each_document(name: str, f: Callable[[Column], Column], sql: Callable[[str], str]) -> None:
     QUERIES[name] = _documents(f)
-    SQL[name] = f"SELECT doc_id, {sql('t')} AS out FROM (SELECT doc_id, {_latin('text')} AS t FROM documents)"
+    SQL[name] = f"SELECT doc_id, {sql('t')} AS out FROM (SELECT doc_id, {_mixed_sql('text')} AS t FROM documents)"
 
 
 _each_document("normalize_text", B.normalize, _normalize)
@@ -156,7 +161,7 @@ _each_document("fix_text", B.fix, _fix)
 
 @_query(f"SELECT doc_id, {_strip('text')} AS out FROM documents")
 def strip_invisible(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "documents").select("doc_id", B.strip_invisible(F.col("text")).alias("out"))
+    return _table(spark, folder, "documents").select("doc_id", B.strip_invisible(F.col("text")).alias("out"))
 
 
 @_query(f"SELECT p_partkey, {_transcode(_latin('p_name'))} AS out FROM part")
@@ -183,13 +188,13 @@ def error_input_flags(spark: SparkSession, folder: str) -> DataFrame:
 SELECT conv_id, turn, CAST(i AS INTEGER) AS span_ord, {_own('raw')} AS is_bangla, raw, {_fix('raw')} AS text
 FROM (SELECT conv_id, turn, i, rs[i + 1] AS raw FROM (SELECT *, unnest(range(len(rs))) AS i FROM (SELECT conv_id, turn, {_runs(_mixed_sql('text'))} AS rs FROM conversations)))""")
 def segment_spans(spark: SparkSession, folder: str) -> DataFrame:
-    rows = read_table(spark, folder, "conversations").select("conv_id", "turn", F.posexplode(spans(_mixed(F.col("text")))).alias("span_ord", "x"))
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", F.posexplode(spans(_mixed(F.col("text")))).alias("span_ord", "x"))
     return rows.select("conv_id", "turn", "span_ord", "x.is_bangla", "x.raw", "x.text")
 
 
 @_query(f"SELECT doc_id, array_to_string({_runs('m')}, '') = m AS whole FROM (SELECT doc_id, {_mixed_sql('text')} AS m FROM documents)")
 def span_partition_check(spark: SparkSession, folder: str) -> DataFrame:
-    rows = read_table(spark, folder, "documents").select("doc_id", _mixed(F.col("text")).alias("m"))
+    rows = _table(spark, folder, "documents").select("doc_id", _mixed(F.col("text")).alias("m"))
     return rows.select("doc_id", (F.array_join(runs(F.col("m")), "") == F.col("m")).alias("whole"))
 
 
@@ -229,7 +234,7 @@ def header_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query(_spans_sql(f"SELECT doc_id AS block_id, 0 AS row_ord, 0 AS col_ord, {_mixed_sql('text')} AS t FROM documents", "paragraph", 14, padding_bottom="12"))
 def paragraph_spans(spark: SparkSession, folder: str) -> DataFrame:
-    return layout.paragraph_blocks(read_table(spark, folder, "documents"), _id("doc_id"), _mixed(F.col("text")))
+    return layout.paragraph_blocks(_table(spark, folder, "documents"), _id("doc_id"), _mixed(F.col("text")))
 
 
 @_query(_spans_sql(f"SELECT item_id AS block_id, 0 AS row_ord, 0 AS col_ord, {_mixed_sql('text')} AS t FROM benchmark", "text", 16))
@@ -249,7 +254,7 @@ def auto_text_spans(spark: SparkSession, folder: str) -> DataFrame:
 SELECT coalesce(font, 'none') AS font, count(*) AS n_spans, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM ({_spans_sql(f"SELECT conv_id AS block_id, 0 AS row_ord, 0 AS col_ord, {_mixed_sql('text')} AS t FROM conversations", "auto_text", 16)}) GROUP BY ALL""")
 def spans_by_font(spark: SparkSession, folder: str) -> DataFrame:
     """The default font goes to Bengali runs where none is given, and to no others."""
-    rows = layout.auto_text_blocks(read_table(spark, folder, "conversations"), _id("conv_id"), _mixed(F.col("text")))
+    rows = layout.auto_text_blocks(_table(spark, folder, "conversations"), _id("conv_id"), _mixed(F.col("text")))
     return rows.groupBy(F.coalesce("font", F.lit("none")).alias("font")).agg(F.count("*").alias("n_spans"), F.sum(F.length("text").cast("long")).alias("n_chars"))
 
 
@@ -269,7 +274,7 @@ FROM (
   UNION ALL SELECT 1 AS part, * FROM ({_spans_sql(f"SELECT conv_id * 1000 + turn AS block_id, 0 AS row_ord, 0 AS col_ord, {_mixed_sql('text')} AS t FROM conversations", "rich_text", 14)}))""")
 def rich_text_spans(spark: SparkSession, folder: str) -> DataFrame:
     parts = F.array(layout.text_span(B.from_latin(F.col("role")), 20.0, "bold"), layout.rich_text_item(_mixed(F.col("text"))))
-    return layout.rich_text_blocks(read_table(spark, folder, "conversations"), F.col("conv_id") * 1000 + F.col("turn"), parts)
+    return layout.rich_text_blocks(_table(spark, folder, "conversations"), F.col("conv_id") * 1000 + F.col("turn"), parts)
 
 
 @_query(f"""
@@ -278,7 +283,7 @@ SELECT block_id, 'bullet_list' AS block_kind, row_ord, CAST(0 AS INTEGER) AS col
 UNION ALL SELECT * FROM ({_spans_sql(f"SELECT block_id, row_ord, 1 AS col_ord, {_latin('line')} AS t FROM items", "bullet_list", 14)})""")
 def bullet_list_spans(spark: SparkSession, folder: str) -> DataFrame:
     items = F.transform(F.split("text", "\n"), B.from_latin)
-    return layout.bullet_blocks(read_table(spark, folder, "conversations"), F.col("conv_id") * 1000 + F.col("turn"), items)
+    return layout.bullet_blocks(_table(spark, folder, "conversations"), F.col("conv_id") * 1000 + F.col("turn"), items)
 
 
 def _table_sql(where: str, widths: str) -> str:
