@@ -19,7 +19,7 @@ _RAW = frozenset("script style noscript template iframe svg textarea title selec
 #: Of these the ones that hold code: without an end tag they take all that follows. Of others only the tag goes.
 _CODE = frozenset("script style".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Other elements; what stands in angle brackets under another name without a hyphen or a colon is text.
+#: Other elements. What stands in angle brackets under another name is an element as well, but for bare words that nothing closes, as in `x<y and y>z`.
 _INLINE = frozenset(
     "html head body a abbr acronym applet b basefont bdi bdo big blink cite code command data datalist del dfn dir em font frame frameset i ins kbd keygen label legend map mark "
     "marquee math meter nobr noembed noframes optgroup option output picture progress q rb rp rt rtc ruby s samp slot small span strike strong sub sup time tt u var xmp "
@@ -29,10 +29,9 @@ _INLINE = frozenset(
 _ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table")}
 _ENDS = {k: (a.split(), b.split()) for k, (a, b) in _ENDS.items()}
 _NAME = re.compile(r"/?([a-zA-Z][^\s/><]*)")
-_STOP = re.compile(r"[<>]|=\s*+[\"']")
+_CLOSED = re.compile(r"</([a-zA-Z][^\s/><]*)")
+_STOP = re.compile(r">|=\s*+[\"']")
 _RAW_TAG = re.compile(rf"<(/?)({'|'.join(sorted(_RAW))})(?=[\s/>])", re.I)
-#: Quoted values that a tag may have.
-_VALUES = 64
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -42,27 +41,52 @@ NUMERIC = 20
 FEATURES = NUMERIC + TAGS + 2 * TOKEN_BUCKETS
 
 
-def _tag_end(page: str, at: int) -> int:
-    """Where the tag ends whose name ends at `at`: its `>`, outside quoted values; -1 where a `<` or the page's end comes first."""
-    for _ in range(_VALUES):
-        m = _STOP.search(page, at)
-        if m is None or m[0] == "<":
-            return -1
-        if m[0] == ">":
-            return m.start()
-        at = page.find(m[0][-1], m.end()) + 1
-        if not at:  # a value that is never closed ends with the tag
-            return page.find(">", m.end())
-    return -1
+class _Ends:
+    """Where tags end. What has been looked for in vain is not looked for again, so a page is read in time in proportion."""
 
+    def __init__(self, page: str):
+        self.page, self.last = page, {q: page.rfind(q) for q in "\"'>"}
 
-def _tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
-    """(text, "", False, "") and ("", name, whether an end tag, attributes) in page order, in one pass; raw elements and comments left out."""
-    marks: dict[tuple[str, bool], list[int]] = {}
+    def __call__(self, at: int) -> int:
+        """The `>` of the tag whose name ends at `at`, outside quoted values; -1 where there is none, or a value is never closed and no `>` follows."""
+        while (m := _STOP.search(self.page, at)) is not None:
+            if m[0] == ">":
+                return m.start()
+            quote = m[0][-1]
+            if self.last[quote] < m.end():  # a value that is never closed ends with the tag
+                return self.page.find(">", m.end()) if self.last[">"] >= m.end() else -1
+            at = self.page.find(quote, m.end()) + 1
+        return -1
+
+
+#: Raw elements whose content is characters alone: the first end tag ends them.
+_CHARACTERS = _CODE | {"textarea", "title", "noscript", "iframe"}
+
+
+def _raw_ends(page: str) -> dict[int, int]:
+    """Where the end tag of each raw element stands, by where its start tag does; elements of one name lie in each other, but for buttons and selects, which a further one ends."""
+    open_: dict[str, list[int]] = {}
+    out: dict[int, int] = {}
     for m in _RAW_TAG.finditer(page):
-        marks.setdefault((m[2].lower(), bool(m[1])), []).append(m.start())
-    at, seek, far = 0, 0, page.rfind("-->")
-    last = page.rfind(">")
+        name = m[2].lower()
+        stack = open_.setdefault(name, [])
+        if m[1]:
+            if stack:
+                out[stack.pop()] = m.start()
+        elif not stack or name not in _CHARACTERS:
+            if name in ("button", "select"):
+                stack.clear()
+            stack.append(m.start())
+    return out
+
+
+def _tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text, "", False, "") and ("", name, whether an end tag, attributes) in page order, in one pass; raw elements and comments left out.
+
+    A `<` before a letter, or before `/` and a letter, begins a tag, whatever its name (but see _INLINE).
+    """
+    at, seek, far, tag_end, raw_end = 0, 0, page.rfind("-->"), _Ends(page), _raw_ends(page)
+    last, closed = page.rfind(">"), None
     while True:
         i = page.find("<", seek)
         if i < 0 or i > last:
@@ -75,7 +99,12 @@ def _tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
         else:
             m = _NAME.match(page, i + 1)
             name = m[1].lower() if m else ""
-            end = _tag_end(page, m.end()) + 1 if name in BLOCKS or name in _RAW or name in _VOID or name in _INLINE or "-" in name or ":" in name else 0
+            end = tag_end(m.end()) + 1 if name else 0
+            if end and not (name in BLOCKS or name in _RAW or name in _VOID or name in _INLINE or "-" in name or ":" in name):
+                if closed is None:
+                    closed = {x.lower() for x in _CLOSED.findall(page)}
+                rest = page[m.end() : end - 1].strip(" \t\r\n\f/")
+                end = end if name in closed or not rest or "=" in rest else 0
             if not end:  # no tag: text
                 seek = i + 1
                 continue
@@ -85,11 +114,8 @@ def _tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
         at = seek = end
         if name in _RAW:
             if not closing and not attributes.endswith("/"):
-                ends, begins = marks.get((name, True), []), marks.get((name, False), [])
-                k = bisect.bisect_left(ends, end)
-                again = bisect.bisect_left(begins, end)
-                if k < len(ends) and not (name in ("button", "select") and again < len(begins) and begins[again] < ends[k]):
-                    at = seek = page.find(">", ends[k]) + 1 or len(page)
+                if i in raw_end:
+                    at = seek = page.find(">", raw_end[i]) + 1 or len(page)
                 elif name in _CODE:
                     at = seek = len(page)
         elif name:

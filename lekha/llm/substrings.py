@@ -261,11 +261,11 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 3, id_col: str
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged; `kept` joins the rest by one space. A null text has no
     words; rows with a null id are left out. Of rows that share an id those with other texts than one of
     them are documents of their own, which come after all others; rows alike in both are one document,
-    given as often as they stand. `keep` names further columns to carry along,
-    none of which may have a name of this result;
-    `digests_only` leaves `text` and `kept` out.
+    given as often as they stand. `keep` names further columns to carry along, as they are; one with a name
+    of this result comes as `input_<name>`. `digests_only` leaves `text` and `kept` out.
     """
-    rows = _numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep).where("doc_id is not null"))
+    rest = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]) if keep else F.lit(None).cast("boolean")
+    rows = _numbered(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), rest.alias("lk_keep")).where("doc_id is not null"))
     ranges = repeated_ranges(rows, window, gram, "lk_doc")
     ranges = ranges.groupBy(F.col("doc_id").alias("lk_doc")).agg(F.collect_list("first").alias("lk_first"), F.collect_list("last").alias("lk_last"))
     rows = rows.join(ranges, "lk_doc", "left")
@@ -295,15 +295,15 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 3, id_col: str
             out = {"doc_id": b.column("doc_id"), "n_words": pa.array(n), "n_removed": pa.array(removed), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}
             if not digests_only:
                 out |= {"text": b.column("text"), "kept": pa.array(kept, pa.binary()).cast(pa.string())}
-            out |= {c: b.column(c) for c in keep}
+            out["lk_keep"] = b.column("lk_keep")
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     schema = T.StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
     for name in () if digests_only else ("text", "kept"):
         schema = schema.add(name, "string")
-    for name in keep:
-        schema = schema.add(name, docs.schema[name].dataType)
-    return rows.mapInArrow(cut, schema)
+    schema = schema.add("lk_keep", rows.schema["lk_keep"].dataType)
+    out, own = rows.mapInArrow(cut, schema), [f.name for f in schema][:-1]
+    return out.select(*own, *[F.col("lk_keep").getField(f"k{i}").alias(f"input_{c}" if c in own else c) for i, c in enumerate(keep)])
 
 
 #: The same over all windows, for DuckDB.

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -58,6 +59,13 @@ def by_id(df):
     return {r.doc_id: r for r in df.collect()}
 
 
+def test_kept_columns_with_names_of_the_result(spark):
+    df = spark.createDataFrame([(1, "a b", 7, "x", 5), (2, None, 8, "y", 6)], "doc_id long, text string, n_words long, kept string, `odd name` long")
+    got = substrings.remove_repeats(df, keep=("n_words", "kept", "odd name")).orderBy("doc_id").collect()
+    assert [(r.n_words, r.input_n_words, r.kept, r.input_kept, r["odd name"]) for r in got] == [(2, 7, "a b", "x", 5), (0, 8, "", "y", 6)]
+    assert substrings.remove_repeats(df, keep=("n_words",), digests_only=True).columns == ["doc_id", "n_words", "n_removed", "kept_sha256", "input_n_words"]
+
+
 def test_token_store(spark, docs, none):
     path = f"{shared_folder(spark)}/t"
     token_store.write_store(docs, BPE, path)
@@ -604,6 +612,24 @@ PAGE = """<!doctype html><html><head><title>t</title><style>p{{}}</style></head>
 <script>var x = "</p><p>no";</script><form><label>Mail</label></form><footer>&copy; us</footer></body></html>"""
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<article><p " + " ".join(f'data-{k}="v{k}"' for k in range(200)) + ">text</p></article>", "text"),
+    ("<p>a <foo>c</foo> d<x-y z>e</x-y></p>", "a c de"), ("<p>x</p><svg><svg></svg><text>LEAK</text></svg><p>y</p>", "x\n\ny"), ("<p title=a<b>t</p>", "t"), ("<p>1 < 2 <3 </ 4</p>", "1 < 2 <3 </ 4"),
+    ("<p>a<button>b<button>c</button>d</p>", "abd"), ("<p>a<script>'<script>'</script>b</p>", "ab"), ("<p>a</p><script>'<svg>'</script><p>b</p><svg>c</svg><p>d</p>", "a\n\nb\n\nd"),
+    ("<p>a<svg>b</p>", "ab"), ("<p a='x>t</p>", "t"), ("<p a='x>'>t</p>", "t"), ("<p>a<textarea><b></textarea>c</p>", "ac"), ("<p>a<!-- <svg> -->b</p>", "ab"), ("<foo", "<foo"),
+])
+def test_page_reader(page, want):
+    tree = Tree(page)
+    assert tree.text(np.ones(len(tree.tag), bool)) == want
+
+
+@pytest.mark.parametrize("part", ["<p a='", "<svg>", "<button>", "<p a=\"'", "</svg>", "<x y='z' ", "<textarea><svg>", "<!--", "=' <"])
+def test_page_reader_takes_time_in_proportion(part):
+    began = time.time()
+    Tree(part * 100_000)
+    assert time.time() - began < 20
+
+
 def test_main_text(spark, folder):
     taught = spark.read.parquet(f"{folder}/pages.parquet")
     model = main_text.train(taught)
