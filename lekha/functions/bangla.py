@@ -128,6 +128,42 @@ def has_error_input(text: Column) -> Column:
     return let(normalize(text), lambda t: reduce(lambda a, b: a | b, [t.rlike(e) for e in ERRORS]))
 
 
+#: What a strict reader's error is called by where it stands: at a line's begin, or a reph whose cluster ends the line.
+ERROR_KINDS = ("sign at begin", "halant at begin", "reph at begin", "reph at end")
+_END = f"[^{_H}]({_R}{_H}(?=[{_C}])(?:[{_C}]{_H})*+[{_C}]?+)\\z"
+PLAIN[_END] = f"[^{_H}]({_R}{_H}(?:(?:[{_C}]{_H})*[{_C}]|(?:[{_C}]{_H})+))\\z"
+
+
+def error_places(text: Column) -> Column:
+    """array<struct<line, kind, at>>: what a strict reader rejects, line by line, and at which character of the normalised line it stands.
+
+    Lines and characters count from 0. A line has at most one error at its begin and one at its end; texts
+    without any, and empty texts, have none, null gives null.
+    """
+
+    def of(line: Column, n: Column) -> Column:
+        begin = F.when(line.rlike(f"^[{_P}]"), ERROR_KINDS[0]).when(line.rlike(f"^{_H}(?s:.)"), ERROR_KINDS[1]).when(line.rlike(f"^{_R}{_H}(?s:.)"), ERROR_KINDS[2])
+        reph = F.length(F.regexp_extract(line, _END, 1))
+        place = lambda kind, at: F.struct(n.cast("int").alias("line"), kind.alias("kind"), at.cast("int").alias("at"))
+        return F.array(F.when(begin.isNotNull(), place(begin, F.lit(0))), F.when(reph > 0, place(F.lit(ERROR_KINDS[3]), F.length(line) - reph)))
+
+    return F.filter(F.flatten(F.transform(F.split(normalize(text), "\n", -1), of)), lambda x: x.isNotNull())
+
+
+#: Characters of two UTF-16 units.
+WIDE = "[\\x{10000}-\\x{10FFFF}]"
+
+
+def utf16_length(text: Column) -> Column:
+    """UTF-16 units of the text, in which some readers count; functions here count characters."""
+    return F.length(text) + F.regexp_count(text, F.lit(WIDE))
+
+
+def splits_pair(text: Column) -> Column:
+    """A reader of UTF-16 units would move a sign into the surrogate pair before it, which leaves no valid text; here it goes before the whole character."""
+    return normalize(text).rlike(f"{WIDE}[{_P}]")
+
+
 def encode(text: Column, strict: bool = False) -> Column:
     """The text in the legacy encoding, whatever its script.
 

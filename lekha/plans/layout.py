@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lekha.functions.spans import bangla_style, bold, general_style, spans
 
 #: What a span table says of the box around a span, null where the kind of block has no such thing.
-BOX = {"level": "int", "padding": "double", "padding_bottom": "double", "fill": "string", "border": "string", "cell_align": "string", "vertical_align": "string", "column_width": "double"}
+BOX = {"level": "int", "padding": "double", "padding_left": "double", "padding_top": "double", "padding_right": "double", "padding_bottom": "double", "fill": "string", "border": "string", "cell_align": "string", "vertical_align": "string", "column_width": "double"}
 #: The columns of a span table.
 SPANS = [*"block_id block_kind row_ord col_ord span_ord is_bangla raw text font font_size font_weight color text_align".split(), *BOX]
 
@@ -23,7 +23,8 @@ class Look:
     """How a kind of block is set; each part a value or a column. `style` and `bangla_style` are struct columns or None.
 
     `extra` holds what only some kinds have: of BOX the values that hold for the whole block, the bullet of
-    a list, and of a table the heading's align and color, the border's color, the cells' align and the
+    a list, and of a table the padding (one number, or a dict of left, top, right, bottom, vertical and
+    horizontal), the heading's align and color, the border's color, the cells' align and the
     columns' widths (a dict or a map column from column number to width).
     """
 
@@ -55,6 +56,10 @@ TABLE = Look(font_size=14.0, text_align="start", extra={"header_align": "center"
 
 
 def _box(given: dict) -> Column:
+    if isinstance(given.get("padding"), dict):  # by side, or vertical and horizontal
+        sides = given["padding"]
+        both = {"left": "horizontal", "right": "horizontal", "top": "vertical", "bottom": "vertical"}
+        given = {k: v for k, v in given.items() if k != "padding"} | {f"padding_{k}": sides.get(k, sides.get(b, 0)) for k, b in both.items()}
     values = {k: v if isinstance(v, Column) else F.lit(v) for k, v in given.items() if k in BOX}
     return F.struct(*[values.get(k, F.lit(None)).cast(t).alias(k) for k, t in BOX.items()]).alias("box")
 

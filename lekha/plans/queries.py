@@ -14,8 +14,11 @@ from lekha.functions import scan
 from lekha.functions import script as S
 from lekha.functions.spans import RUNS, bangla_style, bold, general_style, runs, spans, style
 from lekha.operators.tables import fix_columns, fix_table
-from lekha.plans import layout
+from lekha.plans import documents, layout
+from lekha.plans.widths import column_widths, width
 from lekha.sources.readers import load_assets, read_table, spread
+from lekha.sources.scratch import scratch_folder
+from lekha.streaming.fixing import write_fixed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -318,3 +321,128 @@ def style_resolution(spark: SparkSession, folder: str) -> DataFrame:
     general, bangla, heading = general_style(given), bangla_style(own, F.when(k >= 2, F.col("p_brand"))), bold(given)
     rows = read_table(spark, folder, "part").select("p_partkey", general.alias("g"), bangla.alias("b"), heading.alias("h"))
     return rows.select("p_partkey", F.col("g.font").alias("general_font"), F.col("g.font_size").alias("general_size"), F.col("g.font_weight").alias("general_weight"), F.col("b.font").alias("bangla_font"), F.col("b.font_size").alias("bangla_size"), F.col("h.font_weight").alias("heading_weight"))
+
+
+# ---- known spellings, places of errors, UTF-16
+
+#: Sample strings and what becomes of them, written out: no pattern or table of this library makes these.
+KNOWN = {
+    "বাংলা": "evsjv", "বাংলাদেশ": "evsjv‡`k", "আমি": "Avwg", "ভালোবাসি।": "fv‡jvevwm|", "কফি": "Kwd", "চা": "Pv", "বিস্কুট": "we¯‹yU", "মূল্য": "g~j¨", "পণ্য": "cY¨", "পরিমাণ": "cwigvY",
+    "মোট": "‡gvU", "দ্বিতীয়": "wØZxq", "তৃতীয়": "Z…Zxq", "আইটেম": "AvB‡Ug", "প্রথম": "cª_g", "শিরোনাম": "wk‡ivbvg", "অনুচ্ছেদ": "Aby‡”Q`", "টেক্সট": "‡U·U", "লিস্ট": "wj÷", "বোল্ড": "‡evì",
+    "প্রোগ্রামিং": "‡cªvMªvwgs", "শর্মিলা": "kwg©jv", "ধর্ম ": "ag© ", "৳১০০": "$100", "Hello": "Hello", "“x”": "“x”",
+}
+
+
+def _known_sql() -> str:
+    cases = " ".join(f"WHEN {i} THEN {_q(v)}" for i, v in enumerate(KNOWN.values()))
+    return f"SELECT p_partkey, CASE p_partkey % {len(KNOWN)} {cases} END || p_name AS fixed FROM part"
+
+
+@_query(_known_sql())
+def known_spellings(spark: SparkSession, folder: str) -> DataFrame:
+    """Each part's name after one of the known spellings; the SQL has the outputs as literals."""
+    texts = F.array(*[F.lit(k) for k in KNOWN])
+    rows = read_table(spark, folder, "part").withColumn("t", F.element_at(texts, (F.col("p_partkey") % len(KNOWN) + 1).cast("int")))
+    return rows.select("p_partkey", F.concat(B.fix(F.col("t")), "p_name").alias("fixed"))
+
+
+def _lines(text: Column) -> Column:
+    """The text's letters one by one in the other script, lines and all else as they are: many lines begin or end with what a strict reader rejects."""
+    return F.translate(F.translate(text, B.LATIN.upper(), B.LATIN), B.LATIN, B.LIKE)
+
+
+_LINES = f"translate(translate(text, {_q(B.LATIN.upper())}, {_q(B.LATIN)}), {_q(B.LATIN)}, {_q(B.LIKE)})"
+
+
+def _places_sql() -> str:
+    begin = f"CASE WHEN regexp_matches(l, {_q(f'^[{S.PRE_KAR}]')}) THEN {_q(B.ERROR_KINDS[0])} WHEN regexp_matches(l, {_q(f'^{S.HALANT}(?s:.)')}) THEN {_q(B.ERROR_KINDS[1])} WHEN regexp_matches(l, {_q(f'^{S.RA}{S.HALANT}(?s:.)')}) THEN {_q(B.ERROR_KINDS[2])} END"
+    return f"""
+WITH l AS (SELECT conv_id, turn, CAST(i AS INTEGER) AS line, ls[i + 1] AS l FROM (SELECT conv_id, turn, ls, unnest(range(len(ls))) AS i FROM (SELECT conv_id, turn, string_split({_normalize(_LINES)}, chr(10)) AS ls FROM conversations))),
+e AS (SELECT *, {begin} AS kind, length(regexp_extract(l, {_q(B.PLAIN[B._END])}, 1)) AS n FROM l)
+SELECT conv_id, turn, line, kind, CAST(0 AS INTEGER) AS at FROM e WHERE kind IS NOT NULL
+UNION ALL SELECT conv_id, turn, line, {_q(B.ERROR_KINDS[3])}, CAST(length(l) - n AS INTEGER) FROM e WHERE n > 0"""
+
+
+@_query(_places_sql())
+def error_places(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", F.explode(B.error_places(_lines(F.col("text")))).alias("x"))
+    return rows.select("conv_id", "turn", "x.line", "x.kind", "x.at")
+
+
+_EMOJI = "😀"
+
+
+@_query(
+    f"SELECT conv_id, turn, CAST(length(t) + length(t) - length(replace(t, '{_EMOJI}', '')) AS INTEGER) AS n_units, regexp_matches({_normalize('t')}, '{_EMOJI}[{S.PRE_KAR}]') AS splits, {_encode('t')} AS encoded "
+    f"FROM (SELECT conv_id, turn, replace({_latin('text')}, {_q(B.LIKE[1])}, '{_EMOJI}') AS t FROM conversations)"
+)
+def utf16_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Signs after characters of two UTF-16 units go before the whole character."""
+    t = F.replace(B.from_latin(F.col("text")), F.lit(B.LIKE[1]), F.lit(_EMOJI))
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", t.alias("t"))
+    return rows.select("conv_id", "turn", B.utf16_length(F.col("t")).alias("n_units"), B.splits_pair(F.col("t")).alias("splits"), B.encode(F.col("t")).alias("encoded"))
+
+
+# ---- column widths, documents of mixed blocks, streams
+
+_TABLE_WIDTH = 480.0
+
+
+@_query(f"""
+WITH c AS (
+  SELECT p_partkey, 0 AS col_ord, length('name') AS n FROM part UNION ALL SELECT p_partkey, 1, length('size') FROM part
+  UNION ALL SELECT p_partkey, 0, length(p_name) FROM part UNION ALL SELECT p_partkey, 1, length(CAST(p_size AS VARCHAR)) FROM part UNION ALL SELECT p_partkey, 2, length(p_brand) FROM part
+  UNION ALL SELECT p_partkey, 0, length(p_type) FROM part WHERE p_size % 2 = 0),
+k AS (SELECT p_partkey AS block_id, CAST(col_ord AS INTEGER) AS col_ord, count(*) AS n_cells, max(n) AS n, any_value(p_size) AS size FROM c JOIN part USING (p_partkey) GROUP BY ALL),
+m AS (SELECT *, CASE WHEN col_ord = 0 AND size % 4 = 0 THEN 'fixed' WHEN col_ord = 0 AND size % 4 = 1 THEN 'flex' WHEN col_ord = 1 AND size % 3 = 0 THEN 'fraction' WHEN col_ord = 1 AND size % 3 = 1 THEN 'flex' ELSE 'intrinsic' END AS kind FROM k),
+w AS (SELECT *, CAST(CASE kind WHEN 'fixed' THEN size * 16.5 WHEN 'fraction' THEN 0.75 * {_TABLE_WIDTH} WHEN 'flex' THEN 0 ELSE n * 7 + 12 END AS DOUBLE) AS needs, CAST(CASE WHEN kind <> 'flex' THEN 0 WHEN col_ord = 0 THEN 2 ELSE 1 END AS DOUBLE) AS flex FROM m),
+t AS (SELECT *, sum(needs) OVER (PARTITION BY block_id) AS total, sum(flex) OVER (PARTITION BY block_id) AS shares FROM w)
+SELECT block_id, col_ord, kind, n_cells, needs AS "natural", CASE WHEN kind = 'flex' THEN greatest(0.0::DOUBLE, {_TABLE_WIDTH}::DOUBLE - total) * flex / shares WHEN total > {_TABLE_WIDTH} THEN needs * {_TABLE_WIDTH}::DOUBLE / total ELSE needs END AS width FROM t""")
+def table_column_widths(spark: SparkSession, folder: str) -> DataFrame:
+    """Ragged tables whose columns are of other kinds by the part's size."""
+    size, text = F.col("p_size"), lambda c: F.col(c).cast("string")
+    more = F.when(size % 2 == 0, F.array(F.array(text("p_type")))).otherwise(F.array().cast("array<array<string>>"))
+    data = F.concat(F.array(F.array(F.lit("name"), F.lit("size"))), F.array(F.array(text("p_name"), text("p_size"), text("p_brand"))), more)
+    first = F.when(size % 4 == 0, width("fixed", size * 16.5)).when(size % 4 == 1, width("flex", 2.0))
+    second = F.when(size % 3 == 0, width("fraction", 0.75)).when(size % 3 == 1, width("flex", 1.0))
+    return column_widths(read_table(spark, folder, "part"), _id("p_partkey"), data, F.create_map(F.lit(0), first, F.lit(1), second), _TABLE_WIDTH)
+
+
+def _document_sql() -> str:
+    doc, head = "conv_id * 1000 + turn", "CASE WHEN row_ord = 0 THEN '{}' ELSE '{}' END".format
+    one = lambda t, row=0, col=0: f"SELECT {doc} AS block_id, {row} AS row_ord, {col} AS col_ord, {t} AS t FROM conversations"
+    lines = f"SELECT {doc} AS block_id, string_split(text, chr(10)) AS ls, unnest(range(len(string_split(text, chr(10))))) AS i FROM conversations"
+    box = {"padding": "6", "fill": "CASE WHEN row_ord = 0 THEN 'grey300' END", "border": "'grey'", "vertical_align": "'middle'", "cell_align": "CASE WHEN row_ord > 0 THEN 'centerLeft' END"}
+    table = " UNION ALL ".join([one(_latin("'role'")), one("'turn'", 0, 1), one("role", 1, 0), one("CAST(turn AS VARCHAR)", 1, 1), one(_latin("role"), 2, 0)])
+    rich = f"""SELECT * REPLACE (CAST(row_number() OVER (PARTITION BY block_id ORDER BY part, span_ord) - 1 AS INTEGER) AS span_ord) FROM (
+  SELECT 0 AS part, * REPLACE ('bold' AS font_weight, CAST(20 AS DOUBLE) AS font_size) FROM ({_spans_sql(one(_latin('role')), 'rich_text', 16)}) UNION ALL SELECT 1 AS part, * FROM ({_spans_sql(one(_mixed_sql('text')), 'rich_text', 16)}))"""
+    marker = f"""SELECT block_id, 'bullet_list' AS block_kind, CAST(i AS INTEGER) AS row_ord, CAST(0 AS INTEGER) AS col_ord, CAST(0 AS INTEGER) AS span_ord, false AS is_bangla, '•   ' AS raw, '•   ' AS text, NULL AS font, CAST(14 AS DOUBLE) AS font_size, 'normal' AS font_weight, 'black' AS color, 'start' AS text_align, {_box_sql()} FROM ({lines})"""
+    parts = {
+        0: _spans_sql(one(_mixed_sql("role")), "header", 24, "bold", level="0"), 1: _spans_sql(one(_mixed_sql("text")), "paragraph", 14, padding_bottom="12"), 3: rich.replace("SELECT * REPLACE (CAST(row", "SELECT * EXCLUDE (part) REPLACE (CAST(row"),
+        4: f"{marker} UNION ALL SELECT * FROM ({_spans_sql(f'SELECT block_id, i AS row_ord, 1 AS col_ord, ls[i + 1] AS t FROM ({lines})', 'bullet_list', 14)})", 5: _spans_sql(table, "table", 14, head("bold", "normal"), head("center", "start"), **box),
+    }
+    return " UNION ALL ".join(f"SELECT block_id AS doc_id, CAST({k} AS INTEGER) AS block_ord, * EXCLUDE (block_id) FROM ({q})" for k, q in parts.items())
+
+
+@_query(_document_sql())
+def document_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Each turn as a document of heading, paragraph, space, rich text, list and ragged table."""
+    role, text = F.col("role"), F.col("text")
+    data = F.array(F.array(B.from_latin(F.lit("role")), F.lit("turn")), F.array(role, F.col("turn").cast("string")), F.array(B.from_latin(role)))
+    blocks = [
+        documents.block("header", text=_mixed(role)), documents.block("paragraph", text=_mixed(text)), documents.block("space"),
+        documents.block("rich_text", parts=F.array(layout.text_span(B.from_latin(role), 20.0, "bold"), layout.text_span(_mixed(text)))),
+        documents.block("bullet_list", items=F.split(text, "\n")), documents.block("table", cells=data),
+    ]
+    return documents.document_blocks(_table(spark, folder, "conversations"), F.col("conv_id") * 1000 + F.col("turn"), F.array(*blocks))
+
+
+@_query(f"SELECT p_partkey, {_fix('m')} AS m, p_size FROM (SELECT p_partkey, {_mixed_sql('p_name')} AS m, p_size FROM part)")
+def stream_fixed_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """A folder read as a stream in two runs with one checkpoint, files added between them: every row comes through once."""
+    top = scratch_folder(spark)
+    rows = read_table(spark, folder, "part").select("p_partkey", _mixed(F.col("p_name")).alias("m"), "p_size")
+    for half in range(2):
+        rows.where(F.col("p_partkey") % 2 == half).write.mode("append").parquet(f"{top}/in")
+        write_fixed(spark.readStream.schema(rows.schema).parquet(f"{top}/in"), f"{top}/out", f"{top}/checkpoint", ["m"]).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{top}/out")
