@@ -6,8 +6,9 @@ string (a super-k-mer) to that bucket, so a word is sent about three times and n
 and equal windows always meet. There all windows are sorted and each but the first is a repeat. Hashes
 only bring words and windows together; equal they are when their bytes are.
 
-Equal super-k-mers of one slice of documents are settled where they are read: only the first is sent,
-so a passage that many documents share comes to its bucket once for each slice, not for each document.
+Equal super-k-mers of one slice of documents are settled where they are read: only the first is sent.
+Those that repeat in a slice are remembered by the task, which sends them again only for an earlier
+document; so a passage that many documents share comes to its bucket about once for each task, not for each document.
 
 A line that many documents have between different neighbours gives each of them other super-k-mers of
 one minimiser. Words are therefore counted by minimiser first; windows of one with more than HOT_WORDS
@@ -34,6 +35,8 @@ from lekha.llm.text import U64, Texts, Words, gram_hash, joined, mix, ragged, sa
 SMALL = 500_000
 #: About so many sent words to a bucket.
 BUCKET_WORDS = 1_000_000
+#: Bytes of repeated super-k-mers that a task remembers; more are sent again by later slices, with the same result.
+SEEN_BYTES = 8 << 20
 #: No minimiser brings more words to its bucket.
 HOT_WORDS = 250_000
 
@@ -76,6 +79,8 @@ class Pieces(NamedTuple):
     place: np.ndarray
     sent: np.ndarray
     again: np.ndarray  # the same stands earlier in this slice
+    leader: np.ndarray  # the first of the same words here
+    whole: np.ndarray  # hash of all words
 
 
 def _pieces(doc_id: np.ndarray, t: Texts, w: Words, window: int, gram: int, hot: np.ndarray) -> Pieces | None:
@@ -104,16 +109,53 @@ def _pieces(doc_id: np.ndarray, t: Texts, w: Words, window: int, gram: int, hot:
     alike[alike] = same_bytes(number, first[rest[alike]], first[leader[rest[alike]]], many[rest[alike]])
     sent[rest[~alike]] = True  # other words under the same hash
     again = ~sent & ((doc != doc[leader]) | (place != place[leader]))
-    return Pieces(first, last, least, np.where(single, one, least), doc, place, sent, again)
-
-
-def _send(doc_id: np.ndarray, t: Texts, window: int, gram: int, buckets: int, hot: np.ndarray) -> list[tuple[int, bytes]]:
+    return Pieces(first, last, least, np.where(single, one, least), doc, place, sent, again, leader, one)
+
+
+class Seen:
+    """Super-k-mers that repeat, with the earliest document and place at which this task has sent each."""
+
+    def __init__(self, most: int = SEEN_BYTES):
+        self.first: dict[int, tuple[tuple[int, int], bytes]] = {}
+        self.keys, self.room = np.zeros(0, U64), most
+
+    def settle(self, found: Pieces, t: Texts, w: Words, window: int) -> None:
+        """Take back from `sent` what was sent for an earlier document, and remember what repeats here."""
+        first, last, _, _, doc, place, sent, again, leader, whole = found
+
+        def said(i: int) -> bytes:
+            at = slice(int(first[i]), int(last[i]) + window)
+            return joined(t.data, w.start[at], w.end[at])[0].tobytes()
+
+        moved: dict[int, bool] = {}
+        for i in np.flatnonzero(sent & np.isin(whole, self.keys)).tolist():
+            before, text = self.first[int(whole[i])]
+            here = (int(doc[i]), int(place[i]))
+            if said(i) != text:
+                continue
+            if here < before:
+                self.first[int(whole[i])] = here, text
+            else:
+                sent[i], again[i], moved[i] = False, here != before, True
+        new = [i for i in np.unique(leader[~sent]).tolist() if i not in moved and sent[i] and int(whole[i]) not in self.first]
+        for i in new:
+            if self.room <= 0:
+                break
+            self.first[int(whole[i])] = (int(doc[i]), int(place[i])), said(i)
+            self.room -= len(self.first[int(whole[i])][1])
+        if new:
+            self.keys = np.fromiter(self.first, U64, len(self.first))
+
+
+def _send(doc_id: np.ndarray, t: Texts, window: int, gram: int, buckets: int, hot: np.ndarray, seen: Seen | None = None) -> list[tuple[int, bytes]]:
     """What goes to each bucket, and under a number below zero the repeats found here."""
     w = words(t)
     found = _pieces(doc_id, t, w, window, gram, hot)
     if found is None:
         return []
-    first, last, _, key, doc, place, sent, again = found
+    if seen is not None:
+        seen.settle(found, t, w, window)
+    first, last, _, key, doc, place, sent, again, _, _ = found
     bucket = (key % U64(buckets)).astype(np.int64)
     squeeze, out = zstandard.ZstdCompressor(level=3), []
     r = np.flatnonzero(again)
@@ -230,8 +272,9 @@ def repeated_ranges(docs: DataFrame, window: int = 20, gram: int = 3, id_col: st
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("substrings")
+        seen = Seen()
         for b in slices(batches, "text"):
-            out = _send(b.column("doc_id").to_numpy(), texts(b.column("text")), window, gram, buckets, hot)
+            out = _send(b.column("doc_id").to_numpy(), texts(b.column("text")), window, gram, buckets, hot, seen)
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["bucket", "packed"])
 
     def settle(table):

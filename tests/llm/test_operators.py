@@ -834,3 +834,27 @@ def test_hot_line_is_dealt_by_windows(spark, monkeypatch):
     assert most[0] > 0.2 and most[1] < 0.1
     got = by_id(substrings.remove_repeats(docs))
     assert {i: (r.n_words, r.n_removed, r.kept_sha256, r.kept) for i, r in got.items()} == without_repeats(texts)
+
+
+@pytest.mark.parametrize("room", [0, 300, 1 << 20])
+def test_repeats_across_slices(room):
+    """Slices of one task, ids in any order: a passage is sent again only for an earlier document, and every window is judged as before."""
+    rng = np.random.default_rng(room)
+    passages = [" ".join(f"p{k}x{i}" for i in range(int(rng.integers(20, 60)))) for k in range(4)]
+    ids = rng.permutation(60).tolist()
+    said = {i: " ".join(filter(None, [f"own{i}a own{i}b" * (i % 3), *rng.choice(passages, int(rng.integers(0, 4))), f"end{i}"])) for i in ids}
+    seen, none, buckets, sizes = substrings.Seen(room), substrings.Seen(0), {}, [0, 0]
+    for k in range(0, 60, 6):
+        part = ids[k : k + 6]
+        again, out = (substrings._send(np.array(part), substrings.texts(pa.array([said[i] for i in part])), 20, 3, 4, np.zeros(0, np.uint64), x) for x in (none, seen))
+        for n, x in enumerate((again, out)):
+            sizes[n] += sum(len(substrings.zstandard.ZstdDecompressor().decompress(y)) for b, y in x if b >= 0)
+        for b, x in out:
+            buckets.setdefault(b, []).append(x)
+    hit = {i: set() for i in ids}
+    for blobs in buckets.values():
+        for d, a, b in zip(*map(np.ndarray.tolist, substrings._repeats(blobs, 20))):
+            hit[d].update(range(a, b + 20))
+    want = without_repeats(said)
+    assert {i: len(hit[i]) for i in ids} == {i: want[i][1] for i in ids}
+    assert sizes[1] < 0.75 * sizes[0] if room > 1000 else sizes[1] <= sizes[0]
