@@ -840,7 +840,7 @@ def test_hot_line_is_dealt_by_windows(spark, monkeypatch):
 def test_repeats_across_slices(room):
     """Slices of one task, ids in any order: a passage is sent again only for an earlier document, and every window is judged as before."""
     rng = np.random.default_rng(room)
-    passages = [" ".join(f"p{k}x{i}" for i in range(int(rng.integers(20, 60)))) for k in range(4)]
+    passages = [" ".join(f"p{k}x{i}" for i in range(int(rng.integers(150, 300)))) for k in range(4)]
     ids = rng.permutation(60).tolist()
     said = {i: " ".join(filter(None, [f"own{i}a own{i}b" * (i % 3), *rng.choice(passages, int(rng.integers(0, 4))), f"end{i}"])) for i in ids}
     seen, none, buckets, sizes = substrings.Seen(room), substrings.Seen(0), {}, [0, 0]
