@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,14 +65,22 @@ def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
         for b in batches:
             x = _matrix(b.column("v"), dim)
             total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim * dim)), pa.array(total.ravel())], ["at", "x"])
-
-    sums = vectors.select("v").mapInArrow(of, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()  # dim * dim rows
-    total = np.zeros(dim * dim)
-    for r in sums:
-        total[r.at] = r.x
+        part = np.full(dim, TaskContext.get().partitionId() % some)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim)), pa.array(part), pa.array([r.tobytes() for r in total], pa.binary())], ["at", "part", "sums"])
+
+    def add(table: pa.Table) -> pa.Table:
+        """A row of the matrix, summed in the order of bytes, so that it is the same each time."""
+        total = np.sum([np.frombuffer(x, float) for x in sorted(table.column("sums").to_pylist())], axis=0)
+        return pa.table({"at": table.column("at")[:1], "part": pa.array([0]), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "at long, part long, sums binary"
+    some = math.isqrt(max(1, vectors.rdd.getNumPartitions()))  # two levels: no group has more rows than about the root of all tasks
+    rows = vectors.select("v").mapInArrow(of, schema).groupBy("at", "part").applyInArrow(add, schema).groupBy("at").applyInArrow(add, schema).collect()  # `dim` rows of 8 * dim bytes
+    total = np.zeros((dim, dim))
+    for r in rows:
+        total[r.at] = np.frombuffer(r.sums, float)
     scale = np.abs(total).max() or 1.0
-    return np.linalg.eigh((total / scale).reshape(dim, dim))[1][:, ::-1].copy()
+    return np.linalg.eigh(total / scale)[1][:, ::-1].copy()
 
 
 def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
