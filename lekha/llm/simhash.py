@@ -3,8 +3,9 @@
 Balls tell fingerprints apart up to a few bits; texts with four fifths of their five-word shingles in
 common differ in some ten bits of 64, where every ball would have to be visited. `similar_documents`
 therefore has a second source of candidates, another sketch of the same shingles: the least of each of
-many hash functions, compared wherever five in a row agree. Both only propose: documents that
-candidates join are compared by their sets of shingles, and these alone decide.
+many hash functions, where five in a row make a key. Both only propose: documents that candidates
+join are compared by their sets of shingles, and these alone decide. Large groups of candidates are first
+narrowed by the rare shingles of each set (`narrowed`), so that documents of one form do not meet all others.
 
 Equal fingerprints and equal sets are one node, so groups of copies never meet.
 """
@@ -25,7 +26,7 @@ from lekha.llm.components import components
 from lekha.llm.meeting import group_links
 from lekha.llm.shared import bounded_batches, written
 from lekha.llm.text import LOWER, U64, Texts, gram_hash, joined, mix, ragged, slices, span_hash, texts, word_hash, words, worker_cache
-from lekha.llm.vantage import links
+from lekha.llm.vantage import forest, links
 
 #: Tables of at most so many rows of 24 bytes are sent to all executors.
 SMALL = 500_000
@@ -91,12 +92,10 @@ def _by_fingerprint(rows: DataFrame, radius: int) -> DataFrame:
     return rows.join(group, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-#: Minima of a sketch, and how many in a row make the key under which sketches meet: at a similarity of
-#: 0.8 no key of 25 agrees for one pair in 20,000.
+#: Minima of a sketch, and how many in a row make a key under which documents meet: at a similarity of 0.8
+#: no key of 25 agrees for one pair in 20,000.
 MINIMA, ROW = 125, 5
 _FACTORS = mix(np.arange(1, MINIMA + 1, dtype=U64)) | U64(1)
-#: Sketches compared in one block.
-_BLOCK = 1000
 #: Sets of shingles compared in one block, and shingles in it.
 _SETS, _SHINGLES = 500, 1_000_000
 
@@ -172,44 +171,91 @@ def _alike(values: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.nd
     return tuple(np.concatenate(pairs).T)
 
 
-def _agree(x: np.ndarray, y: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of sketches with at least so many equal minima."""
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for at in range(0, len(x), 16):
-        same = np.zeros((len(x[at : at + 16]), len(y)), np.int16)
-        for k in range(x.shape[1]):
-            same += x[at : at + 16, None, k] == y[None, :, k]
-        i, j = np.nonzero(same >= least)
-        left.append(i + at), right.append(j)
-    return np.concatenate(left), np.concatenate(right)
+def key_links(keys: DataFrame) -> DataFrame:
+    """keys (id, keys array<long>) -> (u, v): links that join all ids with a key in common, one for each id and key at most."""
+    keyed = keys.select("id", F.explode("keys").alias("key"))
+    met = written(keyed.groupBy("key").agg(F.count("*").alias("many"), F.min("id").alias("least")).where("many > 1").select("key", "least"), "keys")
+    return keyed.join(F.broadcast(met) if met.count() <= SMALL else met, "key").where("id != least").select(F.col("id").alias("u"), F.col("least").alias("v"))
 
 
-def sketch_links(sketches: DataFrame, similarity: float) -> DataFrame:
-    """sketches (id, sketch, keys), one for each different sketch -> (u, v): links that join ids of similar sketches.
+#: Cells in which shingles of large groups are counted: what the driver and each executor hold of them.
+_CELLS = 1 << 21
+#: Joined documents of one group are compared with each other up to so many; more are narrowed first.
+_NARROW = 500
 
-    Pairs with that similarity agree in fewer minima than asked for about once in a million.
-    Sketches that share a key are compared.
-    """
-    least = math.ceil(MINIMA * similarity - 5 * math.sqrt(MINIMA * similarity * (1 - similarity)))  # five standard errors below
-    keyed = sketches.select("id", F.explode("keys").alias("group"))
-    met = keyed.groupBy("group").agg(F.count("*").alias("many")).where("many > 1").select("group")
-    met = written(met, "keys")
-    keyed = written(keyed.join(F.broadcast(met) if met.count() <= SMALL else met, "group"), "met")
-    rows = keyed.join(sketches.select("id", "sketch"), "id").select("group", F.col("id").alias("node"), F.lit(1).cast("long").alias("n"), "sketch")
 
-    def pairs(table, left, right):
-        x = np.stack([np.frombuffer(v.as_buffer(), np.uint32) for v in table.column("sketch")])
-        i, j = _agree(x[left], x[right], least)
-        return left[i], right[j]
+def _set_counts(rows: DataFrame, shingle: int) -> np.ndarray:
+    """How many sets of rows (text) hold a shingle of each cell."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_CELLS, np.int64)
+        for b in slices(batches, "text"):
+            total += np.bincount((_sets(_shingles(texts(b.column("text")), shingle))[0] % U64(_CELLS)).astype(np.int64), minlength=_CELLS)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], ["cell", "many"])
+
+    counted = rows.select("text").mapInArrow(of, "cell int, many long").groupBy("cell").agg(F.sum("many").alias("many")).toArrow()
+    out = np.zeros(_CELLS, np.int32)
+    out[counted.column("cell").to_numpy()] = np.minimum(counted.column("many").to_numpy(), np.iinfo(np.int32).max)
+    return out
 
-    return group_links(rows, _BLOCK, _BLOCK, pairs).distinct()
+
+def narrowed(rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """rows (node, root, text), different sets, read twice -> (node, root): smaller groups within the roots, none parting sets that link.
+
+    Put in one order, two similar sets of shingles have one in common among the first of each: with t the
+    similarity, among the first n - ceil(2t / (1 + t) n) + 1 of the smaller set and n - ceil(tn) + 1 of the
+    larger one. Any order is right; with the rare ones first, shingles that very many share, such as a
+    form's, are among the first of the smaller set only where little else is in it. So sets are joined by what
+    comes early in both, each as the smaller with one that may be larger. Sets that meet none are left out.
+
+    In a task, shingles that an early set of the same slice has are settled there and go on once; rarity
+    is counted in _CELLS cells, and shingles alone in their cell do not travel.
+    """
+    counts = rows.sparkSession.sparkContext.broadcast(_set_counts(rows, shingle))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = counts.value
+        for b in slices(batches, "text"):
+            values, first, _ = _sets(_shingles(texts(b.column("text")), shingle))
+            size, node = np.diff(first), b.column("node").to_numpy()
+            row, common = np.repeat(np.arange(len(size)), size), many[(values % U64(_CELLS)).astype(np.int64)]
+            order = np.lexsort((values, common, row))
+            place = np.arange(len(values)) - first[row]
+            early = place < (size - np.ceil(size * similarity - 1e-6) + 1)[row]
+            short = place < (size - np.ceil(size * (2 * similarity / (1 + similarity)) - 1e-6) + 1)[row]
+            take = early & (common[order] > 1)
+            row, short, key = row[take], short[take], values[order][take]
+            key = mix(key ^ mix(b.column("root").to_numpy().view(U64))[row])  # two keys that collide join too much, never too little
+            here = node[row]
+            least = np.lexsort((here, ~short, key))  # an early set comes first of each key
+            key, here, short = key[least], here[least], short[least]
+            start = np.append(True, key[1:] != key[:-1])[: len(key)]
+            head = np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))
+            settled = short[head]  # the key has an early set in this slice
+            go = start | ~settled
+            inside = settled & (here != here[head])
+            names, at = np.unique(np.concatenate([here[inside], here[head][inside]]), return_inverse=True)
+            i, j = at.reshape(2, -1)
+            root = forest(len(names), i, j)
+            moved = np.flatnonzero(root != np.arange(len(names)))
+            columns = [np.append(key[go].view(np.int64), np.zeros(len(moved), np.int64)), np.append(here[go], names[moved]), np.append(short[go], np.zeros(len(moved), bool))]
+            other = pa.array(np.append(np.zeros(go.sum(), np.int64), names[root[moved]]), mask=np.append(np.ones(go.sum(), bool), np.zeros(len(moved), bool)))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), other], ["key", "node", "short", "other"])
+
+    found = written(rows.select("node", "root", "text").mapInArrow(of, "key long, node long, short boolean, other long"), "early")
+    keyed = found.where("other is null")
+    met = keyed.groupBy("key").agg(F.min(F.when(F.col("short"), F.col("node"))).alias("least"), F.count("*").alias("many"))
+    met = written(met.where("least is not null and many > 1").select("key", "least"), "early_keys")
+    across = keyed.join(F.broadcast(met) if met.count() <= SMALL else met, "key").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    return components(across.unionByName(found.where("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v"))))
 
 
 def set_links(sets: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """sets (node, root, n, text): texts by the hashes and sizes of their sets -> (u, v): links that join nodes of one root.
 
-    All that a root's sets link is joined, and sets are compared exactly. A text whose set has another hash
-    than its node is passed over.
+    All that a root's sets link is joined, and sets are compared exactly; large groups are narrowed before.
+    A text whose set has another hash than its node is passed over.
     """
 
     def pairs(table, left, right):
@@ -217,6 +263,14 @@ def set_links(sets: DataFrame, similarity: float, shingle: int) -> DataFrame:
         good = own.view(np.int64) == table.column("node").to_numpy()
         return _alike(values, first, left[good[left]], right[good[right]], similarity)
 
+    sets = written(sets.select("root", "node", "n", "text"), "sets")
+    large = written(sets.groupBy("root").count().where(F.col("count") > _NARROW).select("root"), "large")
+    if large.limit(1).count():
+        large = F.broadcast(large) if large.count() <= SMALL else large
+        big = sets.join(large, "root", "left_semi")
+        group = written(narrowed(big, similarity, shingle), "narrowed")
+        big = big.drop("root").join(F.broadcast(group) if group.count() <= SMALL else group, "node").select(*sets.columns)
+        sets = written(sets.join(large, "root", "left_anti").unionByName(big), "narrowed_sets")
     return group_links(sets.select(F.col("root").alias("group"), "node", "n", "text"), _SETS, _SHINGLES, pairs)
 
 
@@ -227,9 +281,9 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     share, and version the XXH64 of the text: rows of one id with other texts are documents of their own.
 
     Similarity is the share of all their different shingles (by 64-bit hashes) that two documents
-    have in common. Candidates are pairs with fingerprints at distance <= radius and pairs of similar
-    sketches; all documents that candidates join are compared exactly, and only pairs at the bound
-    or above link. Rules for ids, nulls and wordless texts as for near_duplicates; these texts are alike.
+    have in common. Candidates are pairs with fingerprints at distance <= radius and pairs that share
+    five least shingles in a row; all documents that candidates join are compared exactly, and only pairs
+    at the bound or above link. Rules for ids, nulls and wordless texts as for near_duplicates; these texts are alike.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,25 +291,25 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
         for b in slices(batches, "text"):
             t = texts(b.column("text"))
             s = _shingles(t, shingle)
-            m, (_, first, node) = _minima(s), _sets(s)
-            rows = m[:, : MINIMA // ROW * ROW].reshape(len(t), -1, ROW).astype(U64)
+            _, first, node = _sets(s)
+            rows = _minima(s).reshape(len(t), -1, ROW).astype(U64)
             keys = np.zeros(rows.shape[:2], U64) + np.arange(rows.shape[1], dtype=U64)
             for k in range(ROW):
                 keys = mix(keys * U64(0x9E3779B97F4A7C15) + rows[:, :, k])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(t) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel().view(np.int64)))
-            columns = [b.column("doc_id"), b.column("version"), pa.array(node.view(np.int64)), pa.array(np.diff(first)), pa.array(_fold(t, shingle).view(np.int64)), pa.array([r.tobytes() for r in m], pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "node", "n", "fingerprint", "sketch", "keys"])
+            columns = [b.column("doc_id"), b.column("version"), pa.array(node.view(np.int64)), pa.array(np.diff(first)), pa.array(_fold(t, shingle).view(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "node", "n", "fingerprint", "keys"])
 
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text")).where("doc_id is not null")
-    rows = written(docs.mapInArrow(of, "doc_id long, version long, node long, n long, fingerprint long, sketch binary, keys array<long>"), "sketches")
-    different = rows.groupBy("node").agg(F.min(F.struct("doc_id", "version")).alias("least"), F.max("n").alias("n"), F.min("fingerprint").alias("fingerprint"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    rows = written(docs.mapInArrow(of, "doc_id long, version long, node long, n long, fingerprint long, keys array<long>"), "sketches")
+    different = rows.groupBy("node").agg(F.min(F.struct("doc_id", "version")).alias("least"), F.max("n").alias("n"), F.min("fingerprint").alias("fingerprint"), F.first("keys").alias("keys"))
     different = written(different.withColumn("id", F.col("least.doc_id")).withColumn("version", F.col("least.version")).drop("least"), "different")
     near = _by_fingerprint(different.select(F.col("node").alias("doc_id"), "fingerprint"), radius).select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
-    close = sketch_links(different.select(F.col("node").alias("id"), "sketch", "keys"), similarity)
+    close = key_links(different.select(F.col("node").alias("id"), "keys"))
     candidates = components(near.where("u != v").unionByName(close))
     sets = written(candidates.join(different.select("node", "id", "version", "n"), "node"), "candidates")
-    sets = sets.join(docs.withColumnRenamed("doc_id", "id"), ["id", "version"]).select("node", "root", "n", "text").dropDuplicates(["node"])
+    sets = sets.join(docs.withColumnRenamed("doc_id", "id"), ["id", "version"]).dropDuplicates(["id", "version"]).select("node", "root", "n", "text")
     found = components(set_links(sets, similarity, shingle)).join(different.select("node", "id"), "node")
     least = found.groupBy("root").agg(F.min("id").alias("least"))
     found = written(found.join(least, "root").select("node", "least", "root"), "joined")

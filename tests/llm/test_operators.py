@@ -749,17 +749,57 @@ def test_similar_documents(spark, docs, none):
     assert simhash.similar_documents(docs).count() == len(TEXTS)
 
 
-def test_sketch_links_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "_BLOCK", 7)
-    rng = np.random.default_rng(9)
-    base = rng.integers(0, 2**32, simhash.MINIMA, dtype=np.uint32)
-    rows = []
-    for i in range(60):
-        s = base.copy() if i % 2 else rng.integers(0, 2**32, simhash.MINIMA, dtype=np.uint32)
-        s[rng.choice(simhash.MINIMA, 6, replace=False)] = i
-        rows.append((i, bytearray(s.tobytes()), [1, 1000 + i]))
-    found = components(simhash.sketch_links(spark.createDataFrame(rows, "id long, sketch binary, keys array<long>"), 0.8))
-    assert {r.node: r.root for r in found.collect()} == {i: 1 for i in range(1, 60, 2)}
+def test_key_links(spark):
+    rows = [(1, [5, 6]), (2, [6, 7]), (3, [8, 9]), (4, [7, 9]), (5, [10, 11]), (6, [])]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, keys array<long>")
+    assert {r.node: r.root for r in components(simhash.key_links(frame(rows))).collect()} == {1: 1, 2: 1, 3: 1, 4: 1}
+    assert simhash.key_links(frame([])).count() == 0
+
+
+@pytest.mark.parametrize("own", [0.05, 0.15, 0.3])
+def test_documents_of_one_form(spark, monkeypatch, own):
+    """Texts with most shingles in common, and versions of some: groups as by comparing all pairs, though large groups are narrowed."""
+    monkeypatch.setattr(simhash, "_NARROW", 5)
+    monkeypatch.setattr(simhash, "_SETS", 40)
+    rng = np.random.default_rng(17)
+    form = [f"f{i}" for i in range(100)]
+    texts = {}
+    for i in range(120):
+        n = round(100 * own / (1 - own)) + int(rng.integers(0, 12))
+        texts[i] = " ".join([f"{i}w{k}" for k in range(n)] + form[int(rng.integers(0, 4)) :])
+    for i in range(120, 160):  # versions: some words at the end go
+        texts[i] = texts[int(rng.integers(120))].rsplit(" ", int(rng.integers(1, 24)))[0]
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in (t.split() for t in texts.values())]
+    alike = np.array([[5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets])
+    root = vantage.forest(len(sets), *np.nonzero(alike))
+    many = Counter(root.tolist())
+    rows = [(i, 1, len(sets[i]), t) for i, t in texts.items()]
+    frame = spark.createDataFrame(rows, "doc_id long, root long, n long, text string").repartition(4)
+    nodes = {}
+    for i, t in texts.items():  # a node is the hash of its set
+        nodes.setdefault(int(simhash._sets(simhash._shingles(text.texts(pa.array([t])), 5))[2].view(np.int64)[0]), []).append(i)
+    name = spark.createDataFrame([(n, min(ids)) for n, ids in nodes.items()], "node long, doc_id long")
+    found = components(simhash.set_links(frame.join(name, "doc_id"), 0.8, 5)).collect()
+    one = {n: min(ids) for n, ids in nodes.items()}
+    least = {}
+    for r in found:
+        least[r.root] = min(least.get(r.root, 10**9), one[r.node])
+    got = {one[r.node]: least[r.root] for r in found}
+    want = {i: int(root[i]) for i in one.values() if len({j for j in one.values() if root[j] == root[i]}) > 1}
+    assert got == want and sum(many[r] > 1 for r in root.tolist()) > 20
+
+
+def test_narrowing_leaves_forms_apart(spark):
+    """Texts that share a form and nothing else are in no group after it; two versions of one are."""
+    form = " ".join(f"f{i}" for i in range(80))
+    texts = [" ".join(f"{i}w{k}" for k in range(30)) + " " + form for i in range(300)]
+    texts.append(texts[7].replace("7w3 ", "other "))
+    s = simhash._shingles(text.texts(pa.array(texts)), 5)
+    node = simhash._sets(s)[2].view(np.int64).tolist()
+    rows = spark.createDataFrame([(n, 1, t) for n, t in zip(node, texts)], "node long, root long, text string").repartition(5)
+    got = {r.node: r.root for r in simhash.narrowed(rows, 0.8, 5).collect()}
+    assert got == {n: min(node[7], node[300]) for n in (node[7], node[300])}
+    assert simhash.narrowed(rows.limit(0), 0.8, 5).count() == 0
 
 
 @pytest.mark.parametrize("kind", ["one cluster and some apart", "many clusters", "chain"])
