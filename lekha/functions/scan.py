@@ -133,12 +133,31 @@ def fold(stretch: Column) -> Column:
 
 
 def guarded(text: Column) -> Column:
-    """The text with its degenerate stretches folded, and SAFE characters in them; other texts as they are."""
+    """The text with its degenerate stretches folded, and SAFE characters in them; other texts as they are.
+
+    Words part before each space that no halant precedes, and no degenerate stretch crosses that. So one search
+    marks the words' ends from their first degenerate stretch on, and what comes before it is the end of
+    the part before; all other words are passed over. Texts that hold the mark itself go word by word.
+    """
     odd = _possessive(DEGENERATE)
     all_of = lambda x, pattern: F.regexp_extract_all(x, F.lit(_possessive(pattern)), F.lit(0))
     stretch = lambda x: F.when(x.rlike(odd), F.translate(fold(x), "".join(SAFE), "".join(SAFE.values()))).otherwise(x)
-    word = lambda x: F.when(x.rlike(odd), F.array_join(F.transform(all_of(x, STRETCH), stretch), "")).otherwise(x)
-    return F.when(text.rlike(odd), F.array_join(F.transform(all_of(text, WORD), word), "")).otherwise(text)
+    piece = lambda x, of_odd: F.struct(x.alias("x"), of_odd.alias("odd"))
+    before = lambda x: F.regexp_extract(x, f"^(?s:.*)(?<!{_H})(?= )", 0)
+
+    def pieces(parts: Column) -> Column:
+        """Every second part is a marked one."""
+        begun = lambda x: F.substr(x, F.length(before(x)) + 1, F.length(x))
+        plain = lambda x, i: F.when(i < F.size(parts) - 1, before(x)).otherwise(x)
+        return F.transform(parts, lambda x, i: piece(F.when(i % 2 == 1, F.concat(begun(parts[i - 1]), x)).otherwise(plain(x, i)), i % 2 == 1))
+
+    def of(t: Column) -> Column:
+        marked = F.regexp_replace(t, f"(?:{odd})(?:[^ ]|(?<={_H}) )*+", f"{S.GUARD}$0{S.GUARD}")
+        singly = F.transform(all_of(t, WORD), lambda x: piece(x, x.rlike(odd)))
+        found = F.when(F.contains(t, F.lit(S.GUARD)), singly).otherwise(_let(F.split(marked, S.GUARD, -1), pieces))
+        return F.array_join(F.transform(found, lambda p: F.when(p["odd"], F.array_join(F.transform(all_of(p["x"], STRETCH), stretch), "")).otherwise(p["x"])), "")
+
+    return _let(text, of)
 
 
 # ---- the same in DuckDB's SQL
