@@ -10,10 +10,25 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: A table of fewer rows, in files of fewer bytes, is not worth moving.
+FEW_ROWS, FEW_BYTES = 1_000, 1 << 20
+#: Parts of so many rows at least, where there are more parts than tasks.
+PART_ROWS = 250
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """The rows dealt over as many tasks as the cluster runs at once, where the files come in fewer parts: reordering and transcoding cost far more than moving a text."""
+    """The rows of a table of files dealt over all tasks, unless they lie so: reordering and transcoding cost far more than moving a text.
+
+    Files are split by their bytes, but a row group goes whole to one of the splits and the others stay empty, so
+    the number of splits says nothing: the rows in each are counted, which reads only the files' ends. Large
+    tables go to four parts for each task, so that one of long texts does not hold up the others.
+    """
     tasks = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
+    parts = df.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"), F.max("_metadata.file_size").alias("size"))
+    at = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("n").alias("most"), F.count("*").alias("parts"), F.max("size").alias("size")).first()
+    if at["n"] < FEW_ROWS and (at["size"] or 0) < FEW_BYTES or at["parts"] >= tasks and at["most"] * tasks <= 2 * at["n"]:
+        return df
+    return df.repartition(tasks * max(1, min(4, at["n"] // (PART_ROWS * tasks))))
 
 
 def load_assets(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
