@@ -64,9 +64,13 @@ def _box(given: dict) -> Column:
     return F.struct(*[values.get(k, F.lit(None)).cast(t).alias(k) for k, t in BOX.items()]).alias("box")
 
 
-def _flat(rows: DataFrame, kind: str) -> DataFrame:
-    """rows (block_id, row_ord, col_ord, align, box, s: array of spans) as span rows."""
-    at = rows.select("block_id", "row_ord", "col_ord", "align", "box", F.posexplode("s").alias("span_ord", "x"))
+def _flat(rows: DataFrame, at: list, s: Column, kind: str) -> DataFrame:
+    """rows as span rows; at: their block_id, row_ord, col_ord, align and box, s: array of spans.
+
+    The spans are made inside the explode: of a column made before it, Spark first asks whether it is null or
+    empty, which makes it twice more.
+    """
+    at = rows.select(*at, F.posexplode(s).alias("span_ord", "x"))
     return at.select(
         "block_id", F.lit(kind).alias("block_kind"), "row_ord", "col_ord", "span_ord", "x.is_bangla", "x.raw", "x.text",
         "x.style.font", "x.style.font_size", "x.style.font_weight", "x.style.color", F.col("align").alias("text_align"), *[f"box.{k}" for k in BOX],
@@ -82,7 +86,7 @@ def _zero(name: str) -> Column:
 
 
 def _one_block(df: DataFrame, block_id: Column, s: Column, align, extra: dict, kind: str) -> DataFrame:
-    return _flat(df.select(block_id.alias("block_id"), _zero("row_ord"), _zero("col_ord"), _align(align), _box(extra), s.alias("s")), kind)
+    return _flat(df, [block_id.alias("block_id"), _zero("row_ord"), _zero("col_ord"), _align(align), _box(extra)], s, kind)
 
 
 def text_blocks(df: DataFrame, block_id: Column, text: Column, look: Look = TEXT, kind: str = "text") -> DataFrame:
@@ -136,7 +140,7 @@ def bullet_blocks(df: DataFrame, block_id: Column, items: Column, look: Look = B
     own = F.array(F.struct(F.lit(False).alias("is_bangla"), F.lit(marker).alias("raw"), F.lit(marker).alias("text"), general_style(look.style, None, look.font_size, look.font_weight, look.color).alias("style")))
     rows = df.select(block_id.alias("block_id"), F.posexplode(items).alias("row_ord", "item"))
     cells = rows.select("block_id", "row_ord", _align(look.text_align), _box(look.extra), F.posexplode(F.array(own, spans(F.col("item"), general, bangla))).alias("col_ord", "s"))
-    return _flat(cells, "bullet_list")
+    return _flat(cells, ["block_id", "row_ord", "col_ord", "align", "box"], F.col("s"), "bullet_list")
 
 
 def table_blocks(df: DataFrame, block_id: Column, data: Column, look: Look = TABLE) -> DataFrame:
@@ -155,7 +159,7 @@ def table_blocks(df: DataFrame, block_id: Column, data: Column, look: Look = TAB
         "fill": F.when(head, F.lit(look.extra.get("header_color", "grey300"))), "border": look.extra.get("border_color", "grey"), "vertical_align": look.extra.get("vertical_align", "middle"),
         "cell_align": F.when(~head, F.lit(look.extra.get("cell_align", "centerLeft"))), "column_width": _width(look.extra.get("widths")),
     }
-    return _flat(cells.select("block_id", "row_ord", "col_ord", align.alias("align"), _box(box), s.alias("s")), "table")
+    return _flat(cells, ["block_id", "row_ord", "col_ord", align.alias("align"), _box(box)], s, "table")
 
 
 def _width(widths) -> Column:
